@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import lookalike, mojibake, split
+from narrata.llm import lookalike, mojibake, pairs, split
 from narrata.session import table
 
 
@@ -22,6 +22,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("chunk_index = 1").select("item_kind", "item_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Broken pairs of memories and gateway results."""
+    m = table(spark, d, "memories").where("question IS NOT NULL").select(F.lit("memory").alias("record_kind"), F.col("memory_id").alias("record_id"), "question", F.col("text").alias("answer"))
+    answer = F.regexp_replace("text", r"^\s*session_id:[^\n]*\n?", "")
+    g = table(spark, d, "gateway_results").select(F.lit("gateway").alias("record_kind"), F.col("result_id").cast("string").alias("record_id"), F.col("prompt").alias("question"), answer.alias("answer"))
+    return pairs.defective(m.unionByName(g))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that look the same but are stored differently."""
     c = table(spark, d, "chapters").select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").cast("string").alias("item_id"), "text")
@@ -39,7 +47,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits

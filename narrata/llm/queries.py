@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import lookalike, mojibake, pairs, sentences, split
+from narrata.llm import leakage, lookalike, mojibake, pairs, sentences, split
 from narrata.session import table
 
 
@@ -46,6 +46,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_sentences(spark, d).select("chapter_id", "start_pos", "end_pos")
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold test items, with the extent of what leaked."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every document, with its text as it should have been decoded."""
     return mojibake.restored(table(spark, d, "documents"))
@@ -56,7 +65,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import leakage, lookalike, mojibake, pairs, sentences, split
+from narrata.llm import leakage, lookalike, mojibake, nearest, pairs, sentences, split
 from narrata.session import table
 
 
@@ -30,6 +30,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective(m.unionByName(g))
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest passages of every passage, of those at least 0.96 similar."""
+    return nearest.nearest(table(spark, d, "passages"), id_col="id", vector_col="embedding", group_col="embedding_model", k=5, dim=32, min_similarity=0.96)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_nearest(spark, d).select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that look the same but are stored differently."""
     c = table(spark, d, "chapters").select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").cast("string").alias("item_id"), "text")
@@ -65,7 +74,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import leakage, lookalike, mojibake, nearest, pairs, sentences, split
+from narrata.llm import leakage, lookalike, mixing, mojibake, nearest, pairs, sentences, split
 from narrata.session import table
 
 
@@ -64,6 +64,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a mixture by target shares, with their repetitions."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every document, with its text as it should have been decoded."""
     return mojibake.restored(table(spark, d, "documents"))
@@ -74,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.plans import retrieval
+from narrata.plans import retrieval, texts
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, texts)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

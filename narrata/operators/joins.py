@@ -83,7 +83,7 @@ def resumable(expected: DataFrame, files: DataFrame) -> DataFrame:
     e = expected.where("total_chunks > 0")
     chunks = f.where("slug <> '' AND size > 0").select("book_id", "slug", F.col("n").cast("int").alias("n")).join(e.select("book_id", "slug", "chapter_index", "total_chunks"), ["book_id", "slug"]).where("n BETWEEN 1 AND total_chunks")
     done = chunks.groupBy("book_id", "chapter_index", "total_chunks").agg(F.count_distinct("n").alias("have")).where("have = total_chunks").select("book_id", "chapter_index")
-    audio = f.where("audio <> '' AND size > 0").join(e, (f.book_id == e.book_id) & (F.col("audio") == e.slug), "inner").select(e.book_id, e.chapter_index)
+    audio = f.where("audio <> '' AND size > 0").select("book_id", F.col("audio").alias("slug")).join(e.select("book_id", "slug", "chapter_index"), ["book_id", "slug"]).select("book_id", "chapter_index")
     lists = f.where("list <> '' AND size > 0").select("book_id", F.col("list").cast("int").alias("chapter_index"))
     return done.join(audio.unionByName(lists).distinct(), ["book_id", "chapter_index"], "left_semi")
 

@@ -60,11 +60,11 @@ def deleted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
-def settings(stored: DataFrame) -> DataFrame:
+def settings(stored: DataFrame, *keep: str) -> DataFrame:
     """Settings with defaults for what is missing or not allowed; worker count and live playlists are fixed."""
     voice = F.substring(F.nullif(F.trim("kokoro_voice"), F.lit("")), 1, 80)
     policy = F.when(F.col("rewrite_policy").isin(*POLICIES), F.col("rewrite_policy"))
-    return stored.select(F.coalesce(voice, F.lit(SETTINGS["kokoro_voice"])).alias("kokoro_voice"), F.coalesce(policy, F.lit(SETTINGS["rewrite_policy"])).alias("rewrite_policy"), F.coalesce("output_retention", F.lit(SETTINGS["output_retention"])).alias("output_retention"), F.lit(2).alias("kokoro_workers"), F.lit(True).alias("hls_live"), F.lit(1).alias("version"))
+    return stored.select(*keep, F.coalesce(voice, F.lit(SETTINGS["kokoro_voice"])).alias("kokoro_voice"), F.coalesce(policy, F.lit(SETTINGS["rewrite_policy"])).alias("rewrite_policy"), F.coalesce("output_retention", F.lit(SETTINGS["output_retention"])).alias("output_retention"), F.lit(2).alias("kokoro_workers"), F.lit(True).alias("hls_live"), F.lit(1).alias("version"))
 
 
 def appended(items: Column, item: Column) -> Column:

@@ -37,13 +37,14 @@ def counters(events: DataFrame, keys: list[str], kinds: dict[str, str], kind: st
 def quiet_gaps(events: DataFrame, key: str, ts: str, quiet_s: int = STALE_S) -> DataFrame:
     """Gaps of more than ``quiet_s`` seconds between a run's events."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+    t = F.col(ts).cast("timestamp")
+    gap = F.unix_micros(t) - F.unix_micros(F.lag(t).over(w))
     return events.withColumn("gap_s", gap / 1_000_000).where(F.col("gap_s") > quiet_s)
 
 
 def staleness(events: DataFrame, key: str, ts: str, now: Column, quiet_s: int = STALE_S) -> DataFrame:
     g = events.groupBy(key).agg(F.max(ts).alias("last_ts"))
-    return g.withColumn("stalled", (F.unix_micros(now) - F.unix_micros("last_ts")) > quiet_s * 1_000_000)
+    return g.withColumn("stalled", (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp"))) > quiet_s * 1_000_000)
 
 
 def rollup(files: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.plans import retrieval, texts
+from narrata.plans import joins, library, retrieval, runs, texts, timelines
 
-_MODULES = (retrieval, texts)
+_MODULES = (retrieval, texts, joins, timelines, library, runs)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -1,4 +1,4 @@
-"""Vector retrieval queries."""
+"""Vector retrieval and answer-drafting queries."""
 
 from __future__ import annotations
 
@@ -6,21 +6,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions import vectors as V
+from narrata.operators import retrieval as A
+from narrata.plans.common import memories, passages
 from narrata.session import table
 
+QUERIES, ORACLES = {}, {}
 
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COS = "CASE WHEN coalesce(isnan(list_cosine_similarity({a}, {b})), true) THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
+
+
+@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0 LIMIT 1), s AS (SELECT vec_id, {_COS.format(a='embedding::DOUBLE[]', b='q')} AS s FROM embeddings, q)
+    SELECT vec_id, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 3""")
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """The 3 vectors nearest to vector 0."""
+    """The 3 vectors nearest to vector 0 (a top-k report)."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id = 0").limit(1).select(F.col("v").alias("q"))
     s = e.crossJoin(F.broadcast(q)).select("vec_id", V.cosine(F.col("v"), F.col("q")).alias("s"))
     return s.orderBy(F.desc("s"), "vec_id").limit(3).select("vec_id", F.round("s", 6).alias("score"))
 
 
-QUERIES = {"topk_cosine": topk_cosine}
-ORACLES = {
-    "topk_cosine": """
-        WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0 LIMIT 1),
-        s AS (SELECT vec_id, coalesce(nullif(list_cosine_similarity(embedding::DOUBLE[], q), 'nan'::DOUBLE), 0) AS s FROM embeddings, q)
-        SELECT vec_id, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 3""",
-}
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0"
+_P = f"(SELECT DISTINCT id, book_id, pos, chapter, text, embedding FROM passages WHERE {_USABLE} AND book_id IS NOT NULL AND pos IS NOT NULL)"
+_Q = f"(SELECT book_id AS query_id, book_id, min_by(embedding, (pos, id)) AS q FROM {_P} WHERE len(embedding) = 32 GROUP BY book_id)"
+_RANKED = f"""(SELECT * FROM (SELECT query_id, id, chapter, text, round(s, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos, id))::INTEGER AS rank FROM
+    (SELECT query_id, id, pos, chapter, text, round(CASE WHEN len(embedding) <> len(q) THEN 0.0 ELSE {_COS.format(a='embedding', b='CASE WHEN len(embedding) = len(q) THEN q ELSE embedding END')} END, 12) AS s FROM {_P} JOIN {_Q} USING (book_id))) WHERE rank <= 3)"""
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """For each book, the passages nearest to its first one."""
+    p = passages(spark, d, "book_id", "pos", "chapter", "text", "embedding", "source", "href", "chapter_index", "chunk_index").where("book_id IS NOT NULL AND pos IS NOT NULL")
+    q = p.where((F.size("embedding") == 32) & V.usable(F.col("embedding"))).groupBy("book_id").agg(F.min_by("embedding", F.struct("pos", "id")).alias("q"))
+    return A.ranked(q.withColumn("query_id", F.col("book_id")), p, 3)
+
+
+@query(f"SELECT query_id, id, rank, score FROM {_RANKED}")
+def topk_per_book(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("query_id", "id", "rank", "score")
+
+
+@query("""SELECT p.book_id, true AS indexed, count(DISTINCT id) AS passage_count, min_by(embedding_model, (pos, id)) AS embedding_model FROM passages p WHERE book_id IS NOT NULL AND pos IS NOT NULL GROUP BY book_id""")
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    return A.index_status(passages(spark, d, "book_id", "pos", "embedding_model").where("book_id IS NOT NULL AND pos IS NOT NULL"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d, "book_id", "question", "action").where("question IS NOT NULL AND book_id IS NOT NULL")
+    return m.groupBy("book_id").agg(F.min_by(F.struct("question", "action"), "memory_id").alias("x")).select(F.col("book_id").alias("query_id"), "x.question", "x.action")
+
+
+def chat_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A prompt for each book's first question."""
+    return A.prompts(_asked(spark, d), _ranked(spark, d))
+
+
+def chat_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """A draft answer to each book's first question, from its passages alone."""
+    return A.drafts(_asked(spark, d), _ranked(spark, d), fallback=True)
+
+
+def chat_citations(spark: SparkSession, d: str) -> DataFrame:
+    return A.with_citation(_ranked(spark, d)).select("query_id", "rank", "citation.passage_id", "citation.snippet", "citation.href")
+
+
+QUERIES |= {"chat_prompts": chat_prompts, "chat_drafts": chat_drafts, "chat_citations": chat_citations}
+
+
+@query("""WITH r AS (SELECT DISTINCT id, book_id, chapter_index, chunk_index, text FROM passages WHERE book_id IS NOT NULL AND chapter_index IS NOT NULL AND chunk_index IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, chunk_index, id) - 1 AS pos FROM r)
+    SELECT 'passage_' || book_id || '_' || pos AS id, length(trim(text, ' ')) AS n_chars FROM n WHERE text IS NOT NULL AND regexp_matches(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')""")
+def passage_index(spark: SparkSession, d: str) -> DataFrame:
+    """Passages numbered, cleaned and embedded anew."""
+    p = passages(spark, d, "book_id", "chapter_index", "chunk_index", "text").where("book_id IS NOT NULL AND chapter_index IS NOT NULL AND chunk_index IS NOT NULL").withColumn("chapter", F.col("id"))
+    r = A.passage_index(p)
+    return r.where(F.size("embedding") == 16).select("id", F.length(F.trim("text")).cast("long").alias("n_chars"))

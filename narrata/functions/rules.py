@@ -9,6 +9,7 @@ explicit character classes, no look-around, no ``\\s``, ``\\w`` or ``\\b``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ W = r"\p{L}\p{N}_"
 WORD = rf"[{W}](?:[{W}'’-]*[{W}])?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lit_sql(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

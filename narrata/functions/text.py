@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from narrata.functions.rules import SQUEEZE, STRIP, WORD, WS, Chain, W, chain
+from narrata.functions.rules import SQUEEZE, STRIP, WORD, WS, Chain, W, chain, let
 
 NBSP = chain(("\xa0", " "))
 BLANKS = chain((r"[ \t]+", " "))
@@ -94,8 +94,7 @@ def ffmetadata_value(c: Column) -> Column:
 
 def snippet(c: Column, most: int = 240) -> Column:
     """White space squeezed; cut to ``most`` characters with an ellipsis."""
-    s = SQUEEZE(c)
-    return F.when(F.length(s) <= most, s).otherwise(F.concat(chain((rf"[{WS}]+$", ""))(F.substring(s, 1, most - 1)), F.lit("…")))
+    return let(SQUEEZE(c), lambda s: F.when(F.length(s) <= most, s).otherwise(F.concat(chain((rf"[{WS}]+$", ""))(F.substring(s, 1, most - 1)), F.lit("…"))))
 
 
 def tagged_output(c: Column) -> Column:

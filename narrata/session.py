@@ -60,3 +60,13 @@ def written(df: DataFrame, name: str = "t", partition_by: list[str] | None = Non
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan laid out over at least as many tasks as there are cores.
+
+    Only an input with fewer pieces than cores is moved (a small table in one
+    file); larger ones are read where they lie. For plans without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

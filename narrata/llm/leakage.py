@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narrata.llm.common import sliced
+from narrata.session import spread
+
 SCHEMA = "doc_id bigint, item_id bigint, words int, edits int, at_word int"
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,120}>|\\[nrt]")
 _DROP = re.compile("[­͏​-‏⁠﻿'’`]")
@@ -98,17 +101,40 @@ class Items:
             f[(s[i] & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
             self.filter.append(f)
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(place in h, item, place in the item)`` wherever signatures agree."""
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(places in h, items, places in them)`` wherever signatures agree, each once."""
         mask = np.uint64((1 << self.BITS) - 1)
+        got = [np.empty((3, 0), np.int64)]
         for r in range(len(self.sig)):
             s = self.walks.signatures(h, r)
             p = np.flatnonzero(self.filter[r][(s & mask).astype(np.int64)])
             lo = np.searchsorted(self.sig[r], s[p])
-            hi = np.searchsorted(self.sig[r], s[p], side="right")
-            for a, b, c in zip(p[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(b, c):
-                    yield a, int(self.owner[r][k]), int(self.place[r][k])
+            n = np.searchsorted(self.sig[r], s[p], side="right") - lo
+            k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            got.append(np.stack((np.repeat(p, n), self.owner[r][k], self.place[r][k])))
+        return tuple(np.unique(np.concatenate(got, axis=1), axis=1))
+
+    def likely(self, h: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, around: int = 14, drift: int = 3) -> np.ndarray:
+        """Which hits have enough pairs of words in common near them, on diagonals at most ``drift`` apart."""
+        pad = np.zeros(around + drift + 2, np.uint64)
+        pairs = lambda x: x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
+        a = pairs(np.concatenate((pad, h, pad)))
+        flat = np.concatenate([y for w in self.words for y in (pad, w, pad)] or [pad])
+        starts = np.cumsum([0, *[len(w) + 2 * len(pad) for w in self.words]])
+        b = pairs(flat)
+        # Pairs that reach into padding equal nothing on the other side.
+        b[flat[:-1] == 0] = np.uint64(1)
+        i, j = at + len(pad), starts[item] + place + len(pad)
+        ok = np.zeros(len(at), bool)
+        need = np.minimum(7, np.array([len(w) for w in self.words] or [0])[item] // 3)
+        steps = np.arange(-around, around + 5)
+        for c in range(0, len(at), 1 << 16):
+            x = a[np.minimum(i[c : c + (1 << 16), None] + steps, len(a) - 1)]
+            same = np.zeros(x.shape, bool)
+            for d in range(-drift, drift + 1):
+                same |= x == b[np.clip(j[c : c + (1 << 16), None] + steps + d, 0, len(b) - 1)]
+            ok[c : c + (1 << 16)] = same.sum(1) >= need[c : c + (1 << 16)]
+        return ok
 
 
 def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int = 8) -> tuple[int, int] | None:
@@ -174,12 +200,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     walks = walks or Walks()
     asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates(["i"])
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
-    found, block = [], []
+    rows, found, block = spread(rows), [], []
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, hashes, pad = Items(block, walks), _Hashes(), np.zeros(walks.steps, np.uint64)
-            for b in batches:
+            for b in sliced(batches, 1):
                 ids, out = b.column(0).to_pylist(), []
                 parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in map(words, b.column(1).to_pylist())]
                 if len(hashes) > 2_000_000:
@@ -187,26 +213,27 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
                 # Texts lie in one array, with padding between them.
                 flat = np.concatenate([x for p in parts for x in (p, pad)] or [pad])
                 starts = np.cumsum([0, *[len(p) + walks.steps for p in parts]])
-                near: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-                for at, item, place in known.hits(np.concatenate((flat, pad))):
-                    k = int(np.searchsorted(starts, at, side="right")) - 1
-                    near[k, item].add((at - int(starts[k]), place))
-                for (k, item), places in near.items():
+                wide = np.concatenate((flat, pad))
+                at, item, place = known.hits(wide)
+                keep = known.likely(wide, at, item, place)
+                at, item, place = at[keep], item[keep], place[keep]
+                text = np.searchsorted(starts, at, side="right") - 1
+                near: dict[tuple[int, int], set[int]] = defaultdict(set)
+                for k, i, diagonal in zip(text.tolist(), item.tolist(), (at - starts[text] - place).tolist(), strict=True):
+                    near[k, i].add(diagonal)
+                for (k, i), diagonals in near.items():
                     best, done = None, set[int]()
-                    doc, it = parts[k], known.words[item]
-                    for p, q in sorted(places):
-                        if (p - q) // 8 in done:
-                            continue
-                        a, c = doc[max(0, p - 14) : p + 20].tolist(), it[max(0, q - 14) : q + 20].tolist()
-                        if len(set(zip(a, a[1:], strict=False)) & set(zip(c, c[1:], strict=False))) < min(7, len(it) // 3):
+                    doc, it = parts[k], known.words[i]
+                    for g in sorted(diagonals):
+                        if g // 8 in done:
                             continue
-                        done.add((p - q) // 8)
-                        begin = max(0, p - q - 16)
-                        got = shared_span(doc[begin : p - q + len(it) + 16].tolist(), it.tolist(), least_words, one_in)
+                        done.add(g // 8)
+                        begin = max(0, g - 16)
+                        got = shared_span(doc[begin : g + len(it) + 16].tolist(), it.tolist(), least_words, one_in)
                         if got and (best is None or got > best[:2]):
                             best = (*got, begin)
                     if best:
-                        out.append((ids[k], known.ids[item], *best))
+                        out.append((ids[k], known.ids[i], *best))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "words", "edits", "at_word"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from narrata.session import written
+from narrata.session import spread, written
 
 # Letters of other scripts that look like the Latin letter beside them.
 LOOKALIKES = {
@@ -198,7 +198,7 @@ def same_looking(items: DataFrame, *, kind_col: str = "item_kind", id_col: str =
     texts take no part; repeated rows count once.
     """
     src = items.select(F.col(kind_col).alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    keyed = normalized(src, "t", "c").select("kind", "id", F.unhex(F.md5("t")).alias("raw"), F.unhex(F.md5("c")).alias("form"))
+    keyed = normalized(spread(src), "t", "c").select("kind", "id", F.unhex(F.md5("t")).alias("raw"), F.unhex(F.md5("c")).alias("form"))
     held = written(keyed, "forms")
     mixed = held.groupBy("kind", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("kind", "form")
     members = written(held.join(mixed, ["kind", "form"], "left_semi"), "members")

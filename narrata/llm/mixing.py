@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.session import written
+from narrata.llm.common import sliced
+from narrata.session import spread, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern by which byte-level BPE vocabularies of this kind cut text into words.
@@ -21,6 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def token_counts(docs: DataFrame, *, text_col: str = "text", tokenizer_path: str = TOKENIZER, pattern: str = PATTERN, out_col: str = "n_tokens") -> DataFrame:
     """``docs`` without its text, with the number of tokens of the whole text (null for null) and its digest ``text_key``."""
     rest = [c for c in docs.columns if c not in (text_col, out_col, "text_key")]
+    width = len(rest) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -28,13 +30,13 @@ def token_counts(docs: DataFrame, *, text_col: str = "text", tokenizer_path: str
         with open(tokenizer_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding(os.path.basename(tokenizer_path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for b in batches:
+        for b in sliced(batches, width - 1):
             n = [None if t is None else len(enc.encode_ordinary(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], out_col])
 
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.unhex(F.md5(F.col(text_col))).alias("text_key"), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + f", `{out_col}` bigint"
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
 
 
 class Flow:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.session import written
+from narrata.session import spread, written
 
 _ROW = pa.schema([("g", pa.string()), ("key", pa.binary()), ("id", pa.string()), ("unit", pa.binary())])
 
@@ -169,7 +169,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str,
     """
     rows = vectors.select(F.col(group_col).cast("string").alias("g"), F.col(id_col).cast("string").alias("id"), F.size(vector_col).alias("n"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("g").isNotNull() & F.col("id").isNotNull() & ((F.col("n") == dim) if dim else (F.col("n") > 0)))
-    prepared = rows.mapInArrow(_prepared, "g string, key binary, id string, unit binary")
+    prepared = spread(rows).mapInArrow(_prepared, "g string, key binary, id string, unit binary")
     # Classes of equal vectors: most have one member; only the others are kept as such.
     classes = prepared.groupBy("g", "key").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("unit").alias("unit")).withColumn("h", F.xxhash64("g", "key"))
     classes = written(classes.select("g", "key", "h", "id", (F.col("id") != F.col("last")).alias("many"), "unit"), "classes")

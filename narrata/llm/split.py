@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.llm.common import sliced
+
 PIECE_SCHEMA = "item_kind string, item_id string, chunk_index int, start_pos int, end_pos int, text string"
 
 #: Section: a form feed, three line breaks, or a blank line before a one-line heading.
@@ -69,7 +71,7 @@ def cut_points(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int,
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2):
         out: list[list] = [[], [], [], [], [], []]
         for kind, key, text, most, overlap in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             for n, (s, e) in enumerate(cut_points(text, most, overlap)):

@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str,
         blocks[g] = Blocks(centres, share, n, deviations * math.sqrt(2 * (1 - min_similarity)) / (2 * math.sqrt(d)), chunk_rows)
     exact = min_similarity is None
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.table(b)
             for g in set(t.column("g").to_pylist()):
@@ -250,7 +250,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str,
         one = one[one[:, 0] != one[:, 1]]
         return pa.table({"a": pa.array(one[:, 0]), "b": pa.array(one[:, 1])})
 
-    placed = classes.select("g", "h", "unit").mapInArrow(spread, "g string, cell int, chunk int, live boolean, h bigint, p binary")
+    placed = classes.select("g", "h", "unit").mapInArrow(visits, "g string, cell int, chunk int, live boolean, h bigint, p binary")
     pairs = written(placed.groupBy("g", "cell", "chunk").applyInArrow(tiles, "a bigint, b bigint").distinct(), "pairs")
     # Survivors again, from the vectors.
     part = classes.join(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "h", "left_semi").select("g", "h", "id", "unit")

@@ -112,6 +112,8 @@ def canonical(texts: list[str], t: dict[str, np.ndarray]) -> list[str]:
     works on the whole array.
     """
     n = len(texts)
+    if not n:
+        return []
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(n), [len(x) for x in texts])
     small = np.minimum(cp, _TOP - 1)

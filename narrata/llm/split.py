@@ -33,10 +33,13 @@ def _units(text: str, start: int, end: int, limit: int, level: int) -> Iterator[
     if end - start <= limit:
         yield start, end
     elif level == len(_LEVELS):
-        while end - start > limit:
-            cut = start + limit
-            while cut > start + 1 and cut > start + limit - 16 and _glued(text, cut):
+        # Small units, so that packing can fill a piece.
+        while end - start > (size := min(limit, 16)):
+            cut = start + size
+            while cut > start + 1 and _glued(text, cut):
                 cut -= 1
+            if _glued(text, cut):
+                cut = start + size
             yield start, cut
             start = cut
         yield start, end

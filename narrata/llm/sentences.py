@@ -35,7 +35,8 @@ _WORD_BEFORE = re.compile(r"[^\W_][\w.’'-]*$")
 _DIMENSIONS = 4096
 #: Full-width letters, digits and marks, one for one, so that positions hold.
 _NARROW = {c: c - 0xFEE0 for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]}
-_ALIKE = {ord(a): b for row in LOOKALIKES.values() for a, b in row.split()} | {c: None for a, b in INVISIBLE for c in range(a, b + 1)}
+_UNSEEN = {c: None for a, b in INVISIBLE for c in range(a, b + 1)}
+_ALIKE = {ord(a): b for row in LOOKALIKES.values() for a, b in row.split()} | _UNSEEN
 
 
 def _script(c: str) -> str:
@@ -86,8 +87,10 @@ def candidates(unit: str) -> list[Candidate]:
         closers = unit[m.end() : end]
         rest = unit[end:]
         gap = re.match(r"\s*", rest)[0]
-        w = _WORD_BEFORE.search(unit[max(0, m.start() - 24) : m.start()])
+        w = _WORD_BEFORE.search(unit[max(0, m.start() - 32) : m.start()].translate(_UNSEEN))
         word = w[0].strip(".’'-") if w else ""
+        if "." in word and word.lower() not in LEANING | LOOSE and len(word.split(".")[-2]) > 2:
+            word = word.rpartition(".")[2]  # a stop without a space before it
         out.append(Candidate(end, m[0], word if word.isascii() or word.lower() in LEANING | LOOSE else word.translate(_ALIKE), closers, gap, rest[len(gap) : len(gap) + 64]))
     return out
 

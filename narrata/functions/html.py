@@ -17,7 +17,7 @@ BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "figcapti
 
 
 class _Reader(HTMLParser):
-    """Outermost blocks in order; an open block ends where a sibling block of the same kind begins."""
+    """Outermost blocks in order; an open paragraph ends where any block begins, an open list item at the next or at the list's end."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -41,7 +41,7 @@ class _Reader(HTMLParser):
         elif tag == "title":
             self._in_title = True
         elif tag in BLOCKS and not self._skip:
-            if self._open == [tag] and tag in ("p", "li"):
+            if self._open == ["p"] or self._open == [tag] == ["li"]:
                 self._flush()
             self._open.append(tag)
 
@@ -50,6 +50,8 @@ class _Reader(HTMLParser):
             self._skip = max(0, self._skip - 1)
         elif tag == "title":
             self._in_title = False
+        elif tag in ("ul", "ol") and self._open == ["li"]:
+            self._flush()
         elif tag in self._open:
             while self._open and self._open[-1] != tag:
                 self._open.pop()

@@ -22,4 +22,4 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_texts(df: DataFrame, path: str, key: str, text: str = "text") -> None:
     """One folder a key with its text (playlists, metadata, markdown)."""
-    df.select(F.col(key), F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "").text(path)
+    df.select(F.col(key), F.regexp_replace(text, "\n$", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)

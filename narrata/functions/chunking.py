@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,3 +93,17 @@ def overlapping(df: DataFrame, text_col: str, most: int = 1200, overlap: int = 1
 
     out = df.withColumn("__w", cut(SQUEEZE(F.col(text_col))))
     return out.select(*[c for c in df.columns if c not in ("chunk_index", "piece")], F.posexplode("__w").alias("chunk_index", "piece"))
+
+
+def wrapped(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``df`` with one row a line: ``n`` (from 0) and ``line`` of at most ``width`` characters, unless one word is longer."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in s:
+            yield x.map(lambda t: [t] if len(t) <= width else [p.strip() for p in textwrap.wrap(t, width=width, break_long_words=False, break_on_hyphens=False) if p.strip()] or [t])
+
+    # Only units longer than a line go to Python.
+    long = F.length(text_col) > width
+    lines = F.coalesce(cut(F.coalesce(F.when(long, F.col(text_col)), F.lit(""))), F.array())
+    return df.withColumn("__w", F.when(long, lines).otherwise(F.array(F.col(text_col)))).select(*[c for c in df.columns if c not in ("n", "line")], F.posexplode("__w").alias("n", "line"))

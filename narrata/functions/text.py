@@ -170,12 +170,15 @@ def parsed_time(c: Column) -> Column:
 
 
 # File suffixes and the kinds of content they stand for.
-CONTENT_TYPES = {"m3u8": "application/vnd.apple.mpegurl", "aac": "audio/aac", "ts": "video/mp2t", "m4a": "audio/mp4", "m4b": "audio/mp4", "mp3": "audio/mpeg", "wav": "audio/wav", "json": "application/json", "epub": "application/epub+zip", "html": "text/html; charset=utf-8", "xhtml": "application/xhtml+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif"}
+CONTENT_TYPES = {
+    "wav": "audio/wav", "m4b": "audio/mp4", "mp3": "audio/mpeg", "m4a": "audio/mp4", "aac": "audio/aac", "m3u8": "application/vnd.apple.mpegurl", "epub": "application/epub+zip",
+    "webmanifest": "application/manifest+json; charset=utf-8", "svg": "image/svg+xml; charset=utf-8", "png": "image/png", "js": "text/javascript; charset=utf-8",
+}
 
 
 def content_type(path: Column) -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("application/octet-stream"))
+    return F.coalesce(F.try_element_at(kinds, F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit("application/octet-stream"))
 
 
 def quoted_path(c: Column) -> Column:
@@ -230,3 +233,25 @@ def _all(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+def without_heading(text: Column, title: Column) -> Column:
+    """The text without a first line, or a beginning, that repeats the title (in any case, final ``.`` or ``:`` aside)."""
+    name = F.lower(normalize_text(F.coalesce(title, F.lit(""))))
+    end = chain((r"[.:]+$", ""))
+
+    def by_lines(x: Column) -> Column:
+        lines, name = x["lines"], x["name"]
+        first = F.lower(normalize_text(F.try_element_at(lines, F.lit(1))))
+        rest = STRIP(F.array_join(F.slice(lines, 2, 1_000_000), "\n\n"))
+        whole = normalize_text(text)
+        tail = chain((r"^[ .:\n\t]+", ""))(F.substring(whole, F.length(name) + 1, F.lit(2_000_000_000)))
+        return (
+            F.when((F.size(lines) == 0) | (name == ""), text)
+            .when((first == name) | (end(first) == end(name)), rest)
+            .when(F.startswith(F.lower(whole), name) & (tail != ""), tail)
+            .otherwise(text)
+        )
+
+    lines = F.filter(F.transform(F.split(text, "\n"), STRIP), lambda x: x != "")
+    return let(F.struct(lines.alias("lines"), name.alias("name")), by_lines)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # States in which a conversion is active.
 ACTIVE = ("starting", "running", "stalled")
 # Settings, and what they are where none is stored.
-SETTINGS = {"kokoro_voice": "af_heart", "rewrite_policy": "script-only", "output_retention": "full", "kokoro_workers": 2, "hls_live": True, "version": 1}
-POLICIES = ("off", "selective", "full", "script-only")
+SETTINGS = {"kokoro_voice": "af_heart", "rewrite_policy": "script-only", "output_retention": "delete_intermediates_after_complete", "kokoro_workers": 2, "hls_live": True, "version": 1}
+POLICIES = ("full", "selective", "script-only")
 
 
 def filtered(books: DataFrame, which: str) -> DataFrame:

@@ -94,7 +94,7 @@ def catalog_deletes(spark: SparkSession, d: str) -> DataFrame:
     return B.deleted(b, b.where("conversion_status = 'error'"), "id").select("id")
 
 
-@query(f"""SELECT id, coalesce(nullif(substring(trim(title, ' '), 1, 80), ''), 'af_heart') AS kokoro_voice, CASE WHEN conversion_status IN ('off', 'selective', 'full', 'script-only') THEN conversion_status ELSE 'script-only' END AS rewrite_policy, coalesce(language, 'full') AS output_retention, 2 AS kokoro_workers, true AS hls_live, 1 AS version FROM {BOOKS}""")
+@query(f"""SELECT id, coalesce(nullif(substring(trim(title, ' '), 1, 80), ''), 'af_heart') AS kokoro_voice, CASE WHEN conversion_status IN ('selective', 'full', 'script-only') THEN conversion_status ELSE 'script-only' END AS rewrite_policy, coalesce(language, 'delete_intermediates_after_complete') AS output_retention, 2 AS kokoro_workers, true AS hls_live, 1 AS version FROM {BOOKS}""")
 def merged_settings(spark: SparkSession, d: str) -> DataFrame:
     """Settings documents, here made from the books' columns."""
     s = books(spark, d, "title", "conversion_status", "language").select("id", F.col("title").alias("kokoro_voice"), F.col("conversion_status").alias("rewrite_policy"), F.col("language").alias("output_retention"))

@@ -77,7 +77,7 @@ def test_library(spark):
     p = spark.createDataFrame([("1", None, True, "x", True), ("2", "Z", False, "7", True)], "id string, title string, set_title boolean, n string, set_n boolean")
     assert [tuple(r) for r in B.patched(b, p, ["title", "n"]).orderBy("id").collect()] == [("1", None, 1.5, True), ("2", "B", 7.0, None)]
     s = spark.createDataFrame([("  bm_fable ", "full", None), (None, "not-valid", "small")], "kokoro_voice string, rewrite_policy string, output_retention string")
-    assert [tuple(r)[:4] for r in B.settings(s).collect()] == [("bm_fable", "full", "full", 2), ("af_heart", "script-only", "small", 2)]
+    assert [tuple(r)[:4] for r in B.settings(s).collect()] == [("bm_fable", "full", "delete_intermediates_after_complete", 2), ("af_heart", "script-only", "small", 2)]
     n = spark.createDataFrame([([("1", "a"), ("2", "b")],)], "notes array<struct<id:string,text:string>>")
     r = n.select(B.removed(F.col("notes"), F.lit("1")).alias("a"), B.replaced_text(F.col("notes"), F.lit("2"), F.lit("new")).alias("b"), B.appended(F.col("notes"), F.struct(F.lit("3").alias("id"), F.lit("c").alias("text"))).alias("c")).first()
     assert [x.id for x in r.a] == ["2"] and [x.text for x in r.b] == ["a", "new"] and len(r.c) == 3
@@ -123,3 +123,26 @@ def test_runs(spark):
     f = spark.createDataFrame([("b", "c", n, s) for n, s in (("1.txt", 0), ("1.wav", 5), ("1-gap.wav", 5), ("2.txt", 3))], "book_id string, chapter string, name string, size long")
     r = R.rollup(f).first()
     assert (r.n_txt, r.n_wav, r.n_empty, r.n_total) == (2, 1, 1, 2)
+
+
+def test_player(spark):
+    from narrata.functions import labels as B
+    from narrata.operators import player as P
+
+    e = spark.createDataFrame([("u", t) for t in (0, 1000, 4900, 5100, 7300, 12_400, 13_000)], "u string, ms long").select("u", F.timestamp_millis("ms").alias("ts"))
+    # 5,100 comes less than 5,000 after the first save was written (2,200), 7,300 does not.
+    assert [(r.ms, r.saved_ms) for r in P.throttled(e, "u", "ts").orderBy("ms").collect()] == [(0, 2200), (7300, 9500)]
+    c = spark.createDataFrame([("b", 0, "x.png", 9000, False, False, True), ("b", 1, "Front.jpg", 6000, False, False, True), ("c", 0, "a.jpg", 10, False, False, True), ("c", 1, "b.jpg", 20, False, False, True), ("d", 0, "a", 1, False, True, False), ("d", 1, "b", 1, True, False, False)], "book_id string, item_pos int, name string, size long, is_cover boolean, is_meta_cover boolean, is_image boolean")
+    assert {r.book_id: r.name for r in P.covers(c).collect()} == {"b": "Front.jpg", "c": "b.jpg", "d": "b"}
+    r = spark.createDataFrame([("/api/library", None), ("/media", "a/b.EPUB"), ("/media", "a.png"), ("/assets/x.js", None), ("/", None)], "p string, m string").select(B.cache_route(F.col("p"), F.col("m")).alias("k")).collect()
+    assert [x.k for x in r] == ["network_first", "cache_first", "network_first", "cache_first", "network_first"]
+    v = B.voices(spark).collect()
+    assert len(v) == 54 and v[3].label == "Af Heart — American English · Female"
+    i = spark.createDataFrame([("a/b",), ("a",), ("ab",), ("a/../b",)], "p string").select(B.inside(F.col("p"), F.lit("a")).alias("k")).collect()
+    assert [x.k for x in i] == [True, True, False, False]
+    assert P.cache_sizes(spark.createDataFrame([("p", 2), ("p", 3), ("q", None)], "cache string, bytes long")).where("cache = 'p'").first().bytes == 5
+    pts = spark.createDataFrame([("1", "book", 2, 90.0, 1, 5.0, None), ("2", "chapter", 2, 90.0, 1, 5.0, None), ("3", "chapter", 1, None, 1, 5.0, None), ("4", "chapter", 9, 90.0, 1, 5.0, None)], "point_id string, transport string, chapter_index int, abs_time_s double, saved_chapter int, saved_time_s double, saved_abs_s double")
+    at = spark.createDataFrame([("2", 2, 30.0), ("4", 2, 30.0)], "point_id string, chapter_index int, chapter_time_s double")
+    assert {x.point_id: x.resume_s for x in P.resume_times(pts, at).collect()} == {"1": 90.0, "2": 30.0, "3": 5.0, "4": None}
+    f = spark.range(1).select(B.fingerprint(F.lit("p"), F.lit(None).cast("long"), F.lit(None).cast("timestamp")).alias("a"), B.metrics(F.lit(0), F.lit(0)).alias("m")).first()
+    assert f.a == "p|missing" and f.m.percent == 0.0

@@ -30,7 +30,7 @@ def one(spark, col, value, type_="string"):
         (T.without_session_header, "session_id: 1", ""),
         (T.answer_action, None, "answer"), (T.answer_action, "", "answer"), (T.answer_action, " SOCRATIC", "socratic"), (T.answer_action, "explain", "explain"), (T.answer_action, "not-a-mode", "answer"),
         (T.ffmetadata_value, "a=b;c#d\\e\nf", "a\\=b\;c\\#d\\\\e\\\nf"),
-        (T.content_type, "x/list.M3U8", "application/vnd.apple.mpegurl"), (T.content_type, "x/y", "application/octet-stream"),
+        (T.content_type, "x/list.m3u8", "application/vnd.apple.mpegurl"), (T.content_type, "x/y", "application/octet-stream"),
         (T.chapter_label, " Chapter 1: The-End! ", "chapter 1 the end"),
     ],
 )
@@ -108,3 +108,12 @@ def test_html(spark):
     assert r.text.split("\n\n") == ["The Name", "One", "Two & more", "x", "y", "inner"] and r.headings == ["3", "The Name"]
     df = spark.createDataFrame([(["3", "The Name"], "T", "x", 7), (["Head"], "", "x", 7), ([], "Page", "x", 7), ([], "", "line\nb", 7), ([], "", "", 7)], "h array<string>, t string, x string, n int")
     assert [x.o for x in df.select(H.chapter_title(F.col("h"), F.col("t"), F.col("x"), F.col("n")).alias("o")).collect()] == ["3 The Name", "Head", "Page", "line", "Chapter 7"]
+
+
+def test_headings_and_lines(spark):
+    cut = lambda x, t: spark.createDataFrame([(x, t)], "x string, t string").select(T.without_heading(F.col("x"), F.col("t")).alias("o")).first()["o"]
+    assert cut("CHAPTER 1.\n\nThe sun.\nIt rose.", "Chapter 1") == "The sun.\n\nIt rose."
+    assert cut("Chapter 1 The sun rose.", "Chapter 1") == "The sun rose."
+    assert cut("The sun rose.", "Chapter 1") == "The sun rose." and cut("The sun.", None) == "The sun." and cut("Chapter 1", "Chapter 1") == ""
+    df = spark.createDataFrame([("aa bb-cc dd",), ("x" * 9,), ("a",)], "t string")
+    assert [r.line for r in K.wrapped(df, "t", 5).collect()] == ["aa", "bb-cc", "dd", "x" * 9, "a"]

@@ -44,18 +44,45 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(int8 codes, scales, lengths of the rounding errors)`` of unit vectors."""
-    scale = np.maximum(np.abs(unit).max(1), 1e-30) / 127.0
+    """``(int8 codes, scales, lengths of the rounding errors)`` of vectors."""
+    scale = (np.maximum(np.abs(unit).max(1), 1e-30) / 127.0).astype(np.float32)
     code = np.rint(unit / scale[:, None]).astype(np.int8)
-    err = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(1))
-    return code, scale.astype(np.float32), (err + 1e-6).astype(np.float32)
+    return code, scale, _error(unit - code * scale[:, None])
+
+
+def refined(unit: np.ndarray, code: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(int8 codes of what rounding left, lengths of the errors that remain)``, in steps of a 254th of the scale."""
+    rest = unit - code * scale[:, None]
+    low = np.clip(np.rint(rest * (254.0 / scale[:, None])), -127, 127).astype(np.int8)
+    return low, _error(rest - low * (scale[:, None] / 254.0))
+
+
+def _error(rest: np.ndarray) -> np.ndarray:
+    return (np.sqrt((rest.astype(np.float64) ** 2).sum(1)) + 1e-6).astype(np.float32)
+
+
+def packed(code: np.ndarray, low: np.ndarray | None, scale: np.ndarray, err: np.ndarray) -> np.ndarray:
+    parts = [code.view(np.uint8), *([] if low is None else [low.view(np.uint8)]), np.ascontiguousarray(scale)[:, None].view(np.uint8), np.ascontiguousarray(err)[:, None].view(np.uint8)]
+    return np.concatenate(parts, axis=1)
+
+
+def unpacked(raw: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(vectors as their codes give them, lengths of the errors)``."""
+    scale, err = (np.ascontiguousarray(raw[:, x : x + 4]).view(np.float32).ravel() for x in (raw.shape[1] - 8, raw.shape[1] - 4))
+    v = np.ascontiguousarray(raw[:, :d]).view(np.int8).astype(np.float32)
+    if raw.shape[1] > d + 8:
+        v += np.ascontiguousarray(raw[:, d : 2 * d]).view(np.int8).astype(np.float32) / np.float32(254.0)
+    v *= scale[:, None]
+    return v, err
 
 
 class Blocks:
     """The cells that vectors of a group fall into; fitted on a sample, used for all."""
 
-    def __init__(self, centres: np.ndarray, shares: np.ndarray, rows: int, reach: float, chunk_rows: int) -> None:
+    def __init__(self, centres: np.ndarray, shares: np.ndarray, rows: int, reach: float, chunk_rows: int, crowded: np.ndarray) -> None:
         self.centres, self.reach = centres, reach
+        # A crowded block tells its vectors apart only by finer codes.
+        self.fine = crowded
         self.chunks = np.maximum(1, np.ceil(shares * rows / chunk_rows)).astype(np.int64)
 
     def visit(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,41 +130,54 @@ def _best(row: np.ndarray, value: np.ndarray, err: float, k: int) -> np.ndarray:
     return keep
 
 
-def tile(code_a: np.ndarray, scale_a: np.ndarray, err_a: np.ndarray, code_b: np.ndarray, scale_b: np.ndarray, err_b: np.ndarray, k: int, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def tile(left: np.ndarray, err_a: np.ndarray, right: np.ndarray, err_b: np.ndarray, k: int, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(rows, columns)`` of a tile that may be among the k nearest of either side.
 
-    Products of int8 codes (held in float32, where they are exact) lie within
-    ``ea + eb + ea eb`` of the true cosine, so nothing that belongs is lost.
+    Products of int8 codes (scaled, in float32) lie within ``ea + eb + ea eb``
+    of the true cosine, so nothing that belongs is lost. Where more than a few
+    pairs of a strip pass, the k best seen so far raise each vector's bar, so a
+    dense group costs its products and not its pairs.
     ``same``: both sides are the same vectors.
     """
-    left = code_a.astype(np.float32)
-    right = np.ascontiguousarray(code_b.astype(np.float32).T)
-    slack = float(err_a.max() + err_b.max() + err_a.max() * err_b.max())
-    rows, cols, vals = [], [], []
-    step = max(1, (4 << 20) // max(1, len(code_b)))
+    right = np.ascontiguousarray(right.T)
+    slack = float(err_a.max() + err_b.max() + err_a.max() * err_b.max()) + 1e-5
+    rows, cols, vals, full = [], [], [], 1 << 22
+    # The k best seen by each side; they raise the bar once a region proves dense.
+    col_best = None if same else np.full((k, right.shape[1]), -2.0, np.float32)
+    step, wide = 2048, 4096
     for a in range(0, len(left), step):
-        s = left[a : a + step] @ right
-        s *= scale_a[a : a + step, None]
-        s *= scale_b[None, :]
-        if same:
-            i = np.arange(len(s))
-            s[i, i + a] = -2.0
-        if least > -1:
-            i, c = np.nonzero(s >= least - slack)
-        else:
-            kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            best = s >= (kth - 2 * slack)[:, None]
+        row_best = np.full((min(step, len(left) - a), k), -2.0, np.float32)
+        for b in range(0, right.shape[1], wide):
+            s = left[a : a + step] @ right[:, b : b + wide]
+            if same and a < b + wide and b < a + step:
+                i = np.arange(max(a, b), min(a + len(s), b + s.shape[1]))
+                s[i - a, i - b] = -2.0
+            bar = np.maximum(least, row_best.min(1) - slack)[:, None] - slack
+            if not same:
+                bar = np.minimum(bar, np.maximum(least, col_best[:, b : b + wide].min(0) - slack)[None, :] - slack)
+            hit = s >= bar
+            if np.count_nonzero(hit) > 4 * k * len(s):
+                top = min(k, s.shape[1])
+                row_best = np.partition(np.concatenate((row_best, np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top :]), axis=1), top, axis=1)[:, -k:]
+                bar = np.maximum(least, row_best.min(1) - slack)[:, None] - slack
+                if not same:
+                    top = min(k, len(s))
+                    part = np.concatenate((col_best[:, b : b + wide], np.partition(s, len(s) - top, axis=0)[len(s) - top :]), axis=0)
+                    col_best[:, b : b + wide] = np.partition(part, top, axis=0)[-k:]
+                    bar = np.minimum(bar, np.maximum(least, col_best[:, b : b + wide].min(0) - slack)[None, :] - slack)
+                hit = s >= bar
+            hit &= s > -1.5
+            i, c = np.nonzero(hit)
+            rows.append(i + a)
+            cols.append(c + b)
+            vals.append(s[i, c])
+        if sum(map(len, rows)) > full:
+            i, c, v = (np.concatenate(x) for x in (rows, cols, vals))
+            keep = _best(i, v, slack, k)
             if not same:
-                kth = np.partition(s, max(0, len(s) - k), axis=0)[max(0, len(s) - k)]
-                best |= s >= (kth - 2 * slack)[None, :]
-            i, c = np.nonzero(best & (s > -1.5))
-        v = s[i, c]
-        keep = _best(i, v, slack, k)
-        if not same:
-            keep |= _best(c, v, slack, k)
-        rows.append(i[keep] + a)
-        cols.append(c[keep])
-        vals.append(v[keep])
+                keep |= _best(c, v, slack, k)
+            rows, cols, vals = [i[keep]], [c[keep]], [v[keep]]
+            full = max(full, 2 * len(rows[0]))
     i, c, v = (np.concatenate(x) for x in (rows, cols, vals))
     keep = _best(i, v, slack, k)
     if not same:
@@ -145,7 +185,23 @@ def tile(code_a: np.ndarray, scale_a: np.ndarray, err_a: np.ndarray, code_b: np.
     return i[keep], c[keep]
 
 
-def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str, k: int = 5, dim: int | None = None, min_similarity: float | None = None, deviations: float = 3.5, cell_rows: int = 256, max_cells: int = 16_384, chunk_rows: int = 8192) -> DataFrame:
+def apart(x: np.ndarray, most: float) -> np.ndarray:
+    """Vectors of ``x``, in order, that are less similar than ``most`` to all taken before."""
+    kept = x[:0]
+    for a in range(0, len(x), 256):
+        b = x[a : a + 256]
+        if len(kept):
+            b = b[(b @ kept.T).max(1) < most]
+        near = b @ b.T >= most
+        take: list[int] = []
+        for i in range(len(b)):
+            if not near[i, take].any():
+                take.append(i)
+        kept = np.concatenate((kept, b[take]))
+    return kept
+
+
+def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str, k: int = 5, dim: int | None = None, min_similarity: float | None = None, deviations: float = 3.5, cell_rows: int = 256, max_cells: int = 16_384, chunk_rows: int = 65_536, fine_rows: int = 4096) -> DataFrame:
     """``group, id, neighbour_id, rank, similarity``: the k most similar vectors of the same group.
 
     A block matrix join: vectors fall into blocks around ``rows / cell_rows``
@@ -180,13 +236,19 @@ def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str,
         d = int(g.rpartition("|")[2])
         want = 1 if n < 4 * cell_rows else min(max_cells, 1 << max(0, round(math.log2(n / cell_rows))))
         if want == 1 or reach is not None:
-            blocks[g] = Blocks(np.ones((max(1, min(64, n // chunk_rows)), d), np.float32), np.ones(1), n, math.inf, chunk_rows)
+            blocks[g] = Blocks(np.ones((max(1, min(64, n // chunk_rows)), d), np.float32), np.ones(1), n, math.inf, chunk_rows, np.zeros(1, bool))
             continue
         picked = classes.where((F.col("g") == g) & (F.pmod("h", F.lit(max(1, n // (2 * want)))) == 0)).select("h", "unit").orderBy("h").limit(2 * want).collect()
         unit = np.frombuffer(b"".join(r["unit"] for r in picked), np.float32).reshape(-1, d)
-        centres, rest = unit[0::2], unit[1::2]
-        share = np.bincount((rest @ centres.T).argmax(1), minlength=len(centres)) / max(1, len(rest))
-        blocks[g] = Blocks(centres, share, n, deviations * math.sqrt(2 * (1 - min_similarity)) / (2 * math.sqrt(d)), chunk_rows)
+        # Near-equal centres are one: a dense group is one block, spread over tasks in chunks.
+        centres, rest = apart(unit[0::2], 1 - (1 - min_similarity) / 2), unit[1::2]
+        home = (rest @ centres.T).argmax(1)
+        share = np.bincount(home, minlength=len(centres)) / max(1, len(rest))
+        # How many neighbours a vector of the block has, as far as the sample tells.
+        near = np.concatenate([(rest[a : a + 1024] @ unit[0::2].T >= min_similarity - 0.02).sum(1) for a in range(0, max(1, len(rest)), 1024)])
+        each = np.bincount(home, near, len(centres)) / np.maximum(1, np.bincount(home, minlength=len(centres))) * n / max(1, len(unit[0::2]))
+        crowded = (each > 4 * k) | (share * n > fine_rows)
+        blocks[g] = Blocks(centres, share, n, deviations * math.sqrt(2 * (1 - min_similarity)) / (2 * math.sqrt(d)), chunk_rows, crowded)
     exact = min_similarity is None
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,32 +278,37 @@ def nearest(vectors: DataFrame, *, id_col: str, vector_col: str, group_col: str,
                     times = chunks[c]
                     i = np.repeat(np.arange(len(s)), times)
                     nth = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-                    keep = np.ones(len(i), bool) if s is who else nth != mine[s[i]]
+                    # Of two chunks of its own block, one row of each pair visits the other's.
+                    ahead = (nth - mine[s[i]]) % chunks[c[i]]
+                    keep = np.ones(len(i), bool) if s is who else (ahead > 0) & (ahead <= chunks[c[i]] // 2)
                     src.append(s[i[keep]])
                     cell.append(c[i[keep]])
                     chunk.append(nth[keep])
                     live.append(np.zeros(int(keep.sum()), bool))
                 src, cell, chunk, live = (np.concatenate(x) for x in (src, cell, chunk, live))
-                packed = np.concatenate((code.view(np.uint8), scale[:, None].view(np.uint8), err[:, None].view(np.uint8)), axis=1)[src]
-                width = packed.shape[1]
-                buf = pa.py_buffer(packed.tobytes())
-                offsets = pa.py_buffer((np.arange(len(src) + 1) * width).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(src)), pa.array(cell.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(live), pa.array(h[src]), pa.Array.from_buffers(pa.binary(), len(src), [None, offsets, buf])],
-                    names=["g", "cell", "chunk", "live", "h", "p"],
-                )
+                low, err2 = refined(unit, code, scale) if bl.fine.any() else (None, err)
+                fine = bl.fine[np.minimum(cell, len(bl.fine) - 1)]
+                for some, p in ((np.flatnonzero(~fine), packed(code, None, scale, err)), (np.flatnonzero(fine), packed(code, low, scale, err2))):
+                    if not len(some):
+                        continue
+                    x = src[some]
+                    buf, width = pa.py_buffer(p[x].tobytes()), p.shape[1]
+                    offsets = pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32).tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g] * len(x)), pa.array(cell[some].astype(np.int32)), pa.array(chunk[some].astype(np.int32)), pa.array(live[some]), pa.array(h[x]), pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, buf])],
+                        names=["g", "cell", "chunk", "live", "h", "p"],
+                    )
 
     def tiles(t: pa.Table) -> pa.Table:
         h = t.column("h").to_numpy()
         live = t.column("live").to_numpy(zero_copy_only=False)
         raw = np.frombuffer(b"".join(t.column("p").to_pylist()), np.uint8).reshape(len(h), -1)
-        code = np.ascontiguousarray(raw[:, :-8]).view(np.int8)
-        scale, err = (np.ascontiguousarray(raw[:, a:b]).view(np.float32).ravel() for a, b in ((-8, -4), (-4, raw.shape[1])))
+        v, err = unpacked(raw, int(t.column("g")[0].as_py().rpartition("|")[2]))
         out_a, out_b = [], []
         own = np.flatnonzero(live)
         for side in (own, np.flatnonzero(~live)):
             if len(own) and len(side):
-                i, c = tile(code[side], scale[side], err[side], code[own], scale[own], err[own], k, -2.0 if exact else min_similarity, side is own)
+                i, c = tile(v[side], err[side], v[own], err[own], k, -2.0 if exact else min_similarity, side is own)
                 out_a.append(h[side[i]])
                 out_b.append(h[own[c]])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))

@@ -36,8 +36,28 @@ def test_bounds_hold():
     u = rng.normal(size=(300, 24)).astype(np.float32)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     code, scale, err = N.quantised(u)
-    s = (code.astype(np.float32) * scale[:, None]) @ (code.astype(np.float32) * scale[:, None]).T
-    assert (np.abs(s - u @ u.T) <= err[:, None] + err[None] + err[:, None] * err[None] + 1e-5).all()
+    low, err2 = N.refined(u, code, scale)
+    for raw, worst in ((N.packed(code, None, scale, err), 0.02), (N.packed(code, low, scale, err2), 0.0002)):
+        v, e = N.unpacked(raw, 24)
+        bound = e[:, None] + e[None] + e[:, None] * e[None]
+        assert (np.abs(v @ v.T - u @ u.T) <= bound + 1e-5).all() and bound.max() < worst
+
+
+def test_dense_group(spark):
+    """A third of all rows in one near-equal group: as brute force, and without all its pairs."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 32))
+    v[:1000] = v[0] + rng.normal(size=(1000, 32)) * 0.1
+    rows = [(f"v{i:04d}", "m", x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id string, m string, v array<double>")
+    got = N.nearest(df, id_col="id", vector_col="v", group_col="m", k=5, min_similarity=0.96, cell_rows=64, chunk_rows=400, fine_rows=256).select("id", "neighbour_id").collect()
+    want = brute(rows, 5, 0.96)
+    assert len(want) >= 5000 and len(want & {tuple(r) for r in got}) >= 0.999 * len(want)
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)[:1000]
+    code, scale, _ = N.quantised(u)
+    low, err = N.refined(u, code, scale)
+    i, _ = N.tile(*N.unpacked(N.packed(code, low, scale, err), 32), *N.unpacked(N.packed(code, low, scale, err), 32), 5, 0.96, True)
+    assert len(i) < 20 * len(u)
 
 
 def test_defined_results_of_odd_rows(spark):

@@ -60,7 +60,7 @@ def headless_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["headless_texts"] = headless_texts
 
 
-@query(f"""SELECT book_id, ';FFMETADATA1' || chr(10) || 'title=' || book_id || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (e - ms)::BIGINT || chr(10) || 'END=' || e::BIGINT || chr(10) || 'title=' || replace(replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '=', '\\='), ';', '\;'), '#', '\\#') || chr(10), '' ORDER BY chapter_index) AS text
+@query(f"""SELECT book_id, ';FFMETADATA1' || chr(10) || 'title=' || book_id || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (e - ms)::BIGINT || chr(10) || 'END=' || e::BIGINT || chr(10) || 'title=' || replace(replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '=', '\\='), ';', '\\;'), '#', '\\#') || chr(10), '' ORDER BY chapter_index) AS text
     FROM (SELECT book_id, chapter_index, title, ms, sum(ms) OVER (PARTITION BY book_id ORDER BY chapter_index) AS e FROM (SELECT *, greatest(1, floor(duration_s * 1000))::BIGINT AS ms FROM {CHAPTERS} WHERE book_id IS NOT NULL AND chapter_index IS NOT NULL AND duration_s IS NOT NULL AND NOT isnan(duration_s) AND duration_s >= 0)) GROUP BY book_id""")
 def ffmetadata_texts(spark: SparkSession, d: str) -> DataFrame:
     """A metadata file for each book (its chapters are a bounded list)."""

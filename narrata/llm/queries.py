@@ -92,4 +92,10 @@ ORACLES = {
         UNION ALL
         SELECT DISTINCT 'passage', id FROM passages p JOIN split_limits s ON s.embedding_model = p.embedding_model
         WHERE item_kind = 'passage' AND length(text) > max_chars""",
+    "p3_found": """
+        WITH v AS (SELECT DISTINCT id, embedding_model AS m, embedding AS e FROM passages WHERE id IS NOT NULL AND embedding_model IS NOT NULL AND len(embedding) = 32
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 7) AS s FROM v a JOIN v b ON a.m = b.m AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.96),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 5""",
 }

@@ -52,14 +52,13 @@ def chapter_at(points: DataFrame, marks: DataFrame) -> DataFrame:
     The first interval that holds the time; past the end of the book's last
     chapter, that chapter's end. Intervals and points meet by book.
     """
-    first = marks.where("start_s IS NOT NULL AND end_s IS NOT NULL")
-    p = points.select("point_id", "book_id", "abs_time_s").where("abs_time_s IS NOT NULL")
-    hit = p.join(first.select("book_id", "chapter_index", "start_s", "end_s"), "book_id").where("abs_time_s >= start_s AND abs_time_s < end_s")
-    hit = hit.groupBy("point_id").agg(F.min_by(F.struct("chapter_index", (F.col("abs_time_s") - F.col("start_s")).alias("t")), "chapter_index").alias("h"))
-    last = marks.groupBy("book_id").agg(F.max_by(F.struct("chapter_index", "start_s", "end_s"), "chapter_index").alias("l"))
-    clamp = (F.col("l.start_s").isNotNull()) & (F.col("abs_time_s") >= F.col("l.end_s"))
-    j = p.join(hit, "point_id", "left").join(last, "book_id", "left")
-    return j.select("point_id", "book_id", "abs_time_s", F.coalesce("h.chapter_index", F.when(clamp, F.col("l.chapter_index"))).alias("chapter_index"), F.round(F.coalesce("h.t", F.when(clamp, F.greatest(F.lit(0.0), F.col("l.end_s") - F.col("l.start_s")))), 6).alias("chapter_time_s"))
+    # A book's marks are one bounded list, so that a book with many points joins row to row and can be split.
+    lists = marks.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "start_s", "end_s"))).alias("m"))
+    j = points.select("point_id", "book_id", "abs_time_s").where("abs_time_s IS NOT NULL").join(lists, "book_id", "left")
+    t = F.col("abs_time_s")
+    j = j.withColumns({"h": F.try_element_at(F.filter("m", lambda x: (t >= x["start_s"]) & (t < x["end_s"])), F.lit(1)), "l": F.try_element_at("m", F.lit(-1))})
+    clamp = F.col("l.start_s").isNotNull() & (t >= F.col("l.end_s"))
+    return j.select("point_id", "book_id", "abs_time_s", F.coalesce("h.chapter_index", F.when(clamp, F.col("l.chapter_index"))).alias("chapter_index"), F.round(F.coalesce(t - F.col("h.start_s"), F.when(clamp, F.greatest(F.lit(0.0), F.col("l.end_s") - F.col("l.start_s")))), 6).alias("chapter_time_s"))
 
 
 def absolute_times(points: DataFrame, marks: DataFrame) -> DataFrame:

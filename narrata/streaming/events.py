@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,12 +65,11 @@ def silences(events: DataFrame, quiet_s: int = runs.STALE_S, late: str = "10 min
 def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over what there is, to files in the shared folder or, for a changing result, to memory; and read it."""
     spark = df.sparkSession
+    out = f"{shared_dir(spark)}/narrata-{name}-{uuid.uuid4().hex}"
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     if mode != "append":
-        q: StreamingQuery = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        q: StreamingQuery = w.format("memory").queryName(name).start()
         q.awaitTermination()
         return spark.table(name)
-    import uuid
-
-    out = f"{shared_dir(spark)}/narrata-{name}-{uuid.uuid4().hex}"
-    df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(f"{out}").awaitTermination()
+    w.format("parquet").start(out).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,82 @@ def ranked(queries: DataFrame, passages: DataFrame, k: int = 3, max_queries: int
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("s", 6)).drop("s", "np", "nq", "q", "embedding")
 
 
+def searched(queries: DataFrame, rows: DataFrame, k: int = 3, block: int = 50_000, cells: int = 2_000_000) -> DataFrame:
+    """``query_id, id, pos, s, rank``: for every query the k rows of its group nearest to it.
+
+    ``queries(query_id, g, q)``, ``rows(id, g, pos, v)``, keys once. Every query
+    meets every row of its group; similarities count to 12 places, ties go by
+    pos and id; unusable vectors are left out, a zero norm or another length
+    scores 0. Queries go to the rows in blocks of ``block``, a pass over the rows
+    for each; a task multiplies at most ``cells`` pairs at a time and keeps k
+    rows a query, so only hits are shuffled.
+    """
+    kind = dict(rows.dtypes)["id"]
+    # Vectors are tested in the batches: a filter on one that is computed would compute it again.
+    r = rows.select(F.col("g").cast("string"), F.col("id").cast("string"), F.col("pos").cast("long"), "v")
+    q = queries.select(F.col("query_id").cast("string"), F.col("g").cast("string"), F.col("q").cast("array<double>"))
+    out, held = None, []
+
+    def passed(held: list) -> DataFrame:
+        groups: dict[str, dict[int, list]] = {}
+        for name, g, v in held:
+            groups.setdefault(g, {}).setdefault(len(v), []).append((name, v))
+        packed = {g: [([n for n, _ in x], _unit(np.array([v for _, v in x]))) for x in by.values()] for g, by in groups.items()}
+        return r.mapInArrow(lambda batches: _best(batches, packed, k, cells), "query_id string, id string, pos long, s double")
+
+    for x in q.toLocalIterator():
+        if x["q"] and not any(y is None or np.isnan(y) for y in x["q"]):
+            held.append(tuple(x))
+        if len(held) == block:
+            out = passed(held) if out is None else out.union(passed(held))
+            held = []
+    if held or out is None:
+        out = passed(held) if out is None else out.union(passed(held))
+    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "pos", "id")
+    hits = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumns({"query_id": F.col("query_id").cast(dict(queries.dtypes)["query_id"]), "id": F.col("id").cast(kind)})
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best(batches: Iterator[pa.RecordBatch], packed: dict, k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of these batches for each query."""
+    kept: dict[tuple[str, int], list] = {}  # of a group's queries of one length: (s, pos, id) arrays of a column a query
+    for b in batches:
+        g, ids, pos, vs = (b.column(i) for i in range(4))
+        g, ids, pos = np.array(g.to_pylist(), object), np.array(ids.to_pylist(), object), np.array(pos.to_pylist(), np.int64)
+        width, flat, at = np.diff(vs.offsets.to_numpy()), vs.values.to_numpy(zero_copy_only=False), vs.offsets.to_numpy()
+        usable = width > 0
+        usable[np.searchsorted(at, np.flatnonzero(np.isnan(flat)), "right") - 1] = False
+        for name in dict.fromkeys(x for x in g if x in packed):
+            mine = np.flatnonzero((g == name) & usable)
+            mine = mine[np.lexsort((ids[mine].astype(str), pos[mine]))]
+            for n, (names, q) in enumerate(packed[name]):
+                for i in range(0, len(mine), step := max(1, cells // len(names))):
+                    rows = mine[i : i + step]
+                    s, fits = np.zeros((len(rows), len(names))), width[rows] == q.shape[1]
+                    if fits.any():
+                        s[fits] = _unit(np.array([flat[at[j] : at[j + 1]] for j in rows[fits]])) @ q.T
+                    s = np.round(s, 12)
+                    top = np.argsort(-s, axis=0, kind="stable")[:k]
+                    kept.setdefault((name, n), []).append((np.take_along_axis(s, top, 0), pos[rows][top], ids[rows][top]))
+                    if len(kept[name, n]) > 32:
+                        kept[name, n] = [_merged(kept[name, n], k)]
+    for (name, n), lists in kept.items():
+        s, pos, ids = _merged(lists, k)
+        asked = packed[name][n][0]
+        yield pa.RecordBatch.from_arrays([pa.array(asked * len(s), pa.string()), pa.array(ids.ravel().tolist(), pa.string()), pa.array(pos.ravel()), pa.array(s.ravel())], names=["query_id", "id", "pos", "s"])
+
+
+def _merged(lists: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, pos, ids = (np.vstack(x) for x in zip(*lists, strict=True))
+    top = np.lexsort((ids.astype(str), pos, -s), axis=0)[:k]
+    return np.take_along_axis(s, top, 0), np.take_along_axis(pos, top, 0), np.take_along_axis(ids, top, 0)
+
+
 def with_citation(hits: DataFrame) -> DataFrame:
     c = F.struct(F.col("id").alias("passage_id"), F.col("chapter"), T.snippet(F.col("text")).alias("snippet"), F.nullif("source", F.lit("")).alias("source"), F.nullif("href", F.lit("")).alias("href"), "chapter_index", "chunk_index")
     return hits.withColumn("citation", c)

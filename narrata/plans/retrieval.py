@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import vectors as V
+from narrata.functions.rules import STRIP
 from narrata.operators import retrieval as A
 from narrata.plans.common import memories, passages
 from narrata.session import table
@@ -36,6 +37,29 @@ def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return s.orderBy(F.desc("s"), "vec_id").limit(3).select("vec_id", F.round("s", 6).alias("score"))
 
 
+@query(f"""WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS.format(a='b.v', b='a.v')}, 12) AS s FROM e a, e b WHERE a.vec_id % 100 = 0)
+    SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 3""")
+def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id is divisible by 100, the 3 nearest of all."""
+    e = table(spark, d, "embeddings").dropDuplicates(["vec_id"]).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("").alias("g"), F.col("v").alias("q"))
+    hits = A.searched(q, e.select(F.col("vec_id").alias("id"), F.lit("").alias("g"), F.col("vec_id").alias("pos"), "v"))
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("s", 6).alias("score"), "rank")
+
+
+@query("""WITH p AS (SELECT DISTINCT doc_id AS id, text FROM documents WHERE text IS NOT NULL AND text <> ''), t AS (SELECT id, unnest(CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 THEN regexp_extract_all(lower(text), '[a-z0-9]+') ELSE [lower(text)] END) AS tok FROM p),
+    h AS (SELECT id, (('0x' || substring(sha256(tok), 1, 8))::BIGINT % 16) AS i, CASE WHEN ('0x' || substring(sha256(tok), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
+    g AS (SELECT id, i, sum(s)::DOUBLE AS v FROM h GROUP BY ALL), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM g GROUP BY id), u AS (SELECT g.id, i, CASE WHEN n = 0 THEN 0.0 ELSE v / n END AS v FROM g JOIN n USING (id)),
+    s AS (SELECT a0.id AS query_id, b.id AS doc_id, round(coalesce(sum(a.v * c.v), 0.0), 12) AS s FROM (SELECT id FROM p WHERE id % 100 = 0) a0 JOIN p b ON true LEFT JOIN u a ON a.id = a0.id LEFT JOIN u c ON c.id = b.id AND c.i = a.i GROUP BY ALL)
+    SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id))::INTEGER AS rank FROM s) WHERE rank <= 3""")
+def hash_topk_documents(spark: SparkSession, d: str) -> DataFrame:
+    """For every document whose id is divisible by 100, the 3 of all whose hashed embeddings are nearest."""
+    e = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", "text").dropDuplicates(["doc_id"]).select("doc_id", V.hash_embedding(F.col("text")).alias("v"))
+    q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.lit("").alias("g"), F.col("v").alias("q"))
+    hits = A.searched(q, e.select(F.col("doc_id").alias("id"), F.lit("").alias("g"), F.col("doc_id").alias("pos"), "v"))
+    return hits.select("query_id", F.col("id").alias("doc_id"), F.round("s", 6).alias("score"), "rank")
+
+
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0"
 _P = f"(SELECT DISTINCT id, book_id, pos, chapter, text, embedding FROM passages WHERE {_USABLE} AND book_id IS NOT NULL AND pos IS NOT NULL)"
 _Q = f"(SELECT book_id AS query_id, book_id, min_by(embedding, (pos, id)) AS q FROM {_P} WHERE len(embedding) = 32 GROUP BY book_id)"
@@ -61,22 +85,39 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every question of a listener."""
     m = memories(spark, d, "book_id", "question", "action").where("question IS NOT NULL AND book_id IS NOT NULL")
-    return m.groupBy("book_id").agg(F.min_by(F.struct("question", "action"), "memory_id").alias("x")).select(F.col("book_id").alias("query_id"), "x.question", "x.action")
+    return m.select(F.col("memory_id").alias("query_id"), "book_id", "question", "action")
+
+
+def _answering(spark: SparkSession, d: str) -> DataFrame:
+    """For each question, the passages of its book nearest to it.
+
+    The model of the stored vectors is not here, so questions and passages are
+    both embedded by hashing, as in ``passage_index``.
+    """
+    p = passages(spark, d, "book_id", "pos", "chapter", "text", "source", "href", "chapter_index", "chunk_index").where("book_id IS NOT NULL AND pos IS NOT NULL").where(STRIP(F.coalesce("text", F.lit(""))) != "")
+    asked = _asked(spark, d).select("book_id", "question", "query_id")
+    # A question asked again is searched once.
+    first = F.min("query_id").over(Window.partitionBy("book_id", "question"))
+    asked = asked.withColumn("first", first)
+    hits = A.searched(asked.where("query_id = first").select("query_id", F.col("book_id").alias("g"), V.hash_embedding(STRIP(F.col("question"))).alias("q")), p.select("id", F.col("book_id").alias("g"), "pos", V.hash_embedding(STRIP(F.col("text"))).alias("v")), 3)
+    hits = hits.select(F.col("query_id").alias("first"), "id", "rank", F.round("s", 6).alias("score"))
+    return asked.select("query_id", "first").join(hits, "first").drop("first").join(p.drop("book_id", "pos"), "id")
 
 
 def chat_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """A prompt for each book's first question."""
-    return A.prompts(_asked(spark, d), _ranked(spark, d))
+    """A prompt for every question."""
+    return A.prompts(_asked(spark, d), _answering(spark, d))
 
 
 def chat_drafts(spark: SparkSession, d: str) -> DataFrame:
-    """A draft answer to each book's first question, from its passages alone."""
-    return A.drafts(_asked(spark, d), _ranked(spark, d), fallback=True)
+    """A draft answer to every question, from its book's passages alone."""
+    return A.drafts(_asked(spark, d), _answering(spark, d), fallback=True)
 
 
 def chat_citations(spark: SparkSession, d: str) -> DataFrame:
-    return A.with_citation(_ranked(spark, d)).select("query_id", "rank", "citation.passage_id", "citation.snippet", "citation.href")
+    return A.with_citation(_answering(spark, d)).select("query_id", "rank", "citation.passage_id", "citation.snippet", "citation.href")
 
 
 QUERIES |= {"chat_prompts": chat_prompts, "chat_drafts": chat_drafts, "chat_citations": chat_citations}

@@ -56,8 +56,21 @@ def _listing(by: str) -> None:
     ORACLES[q.__name__] = f"SELECT (row_number() OVER (ORDER BY {_ORDERS[by]}))::INTEGER AS place, id, title FROM {BOOKS} ORDER BY {_ORDERS[by]} LIMIT 12"
 
 
+def _whole_listing(by: str) -> None:
+    """Every book of the library, with its place."""
+
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        b = books(spark, d, "title", "author", "added_at", "listen_abs_time_s")
+        return B.placed(b, B.order_of(by)).select("place", "id", "title")
+
+    q.__name__ = f"library_all_by_{by}"
+    QUERIES[q.__name__] = q
+    ORACLES[q.__name__] = f"SELECT row_number() OVER (ORDER BY {_ORDERS[by]}) AS place, id, title FROM {BOOKS}"
+
+
 for _by in _ORDERS:
     _listing(_by)
+    _whole_listing(_by)
 
 
 @query(f"SELECT id, opened_at FROM {BOOKS} WHERE listen_abs_time_s IS NOT NULL AND opened_at IS NOT NULL ORDER BY opened_at DESC, id DESC LIMIT 1")

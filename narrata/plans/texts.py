@@ -49,6 +49,7 @@ _SQ = SQUEEZE.sql("text")
 _SNIPPET = f"CASE WHEN length({_SQ}) <= 240 THEN {_SQ} ELSE regexp_replace(substring({_SQ}, 1, 239), '[{WS}]+$', '') || '…' END"
 _chapter_text("snippets", T.snippet, _SNIPPET)
 _chapter_text("tagged_outputs", lambda c: T.tagged_output(F.concat(F.lit("ok <OUT> "), F.substring(c, 1, 200), F.lit(" </out> end"))), STRIP.sql("regexp_extract('ok <OUT> ' || substring(text, 1, 200) || ' </out> end', '(?is)<out>(.*?)</out>', 1)"))
+_chapter_text("tagged_whole_outputs", lambda c: T.tagged_output(F.concat(F.lit("ok <OUT> "), c, F.lit(" </out> end"))), STRIP.sql("regexp_extract('ok <OUT> ' || text || ' </out> end', '(?is)<out>(.*?)</out>', 1)"))
 
 
 @query(f"SELECT md5(text) AS text_key, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY ALL")

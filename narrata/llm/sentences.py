@@ -233,7 +233,7 @@ class Boundaries:
         said = self.evidence.get(low, 0) if w else 0
         kind = listed or (shape if shape in ("none", "One", "one", "dotted") else "word")
         f = ["m.", f"w={low[:24]}", f"len{min(len(w), 5)}", f"shape{shape}", f"listed{listed}", f"said{said}", f"said{said}len{min(len(w), 4)}", f"said{said}{listed}", f"deep{c.dots > 1}"]
-        return f, f"{kind}{'+' if said > 4 else '-' if said in (1, 2) else ''}{'s' if len(w) < 3 else ''}"
+        return f, f"{kind}{'+' if said > 5 else '-' if said in (1, 2) else ''}{'s' if len(w) < 3 else ''}"
 
     @staticmethod
     def _right(c: Candidate, cls: str) -> list[str]:

@@ -8,9 +8,13 @@ def brute(rows, k, least):
     out = set()
     for g in {r[1] for r in rows}:
         own = sorted((r[0], np.array(r[2])) for r in rows if r[1] == g)
-        for i, v in own:
-            near = sorted(((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), j) for j, w in own if j != i))[:k]
-            out |= {(i, j) for s, j in near if -s >= least}
+        ids, v = [i for i, _ in own], np.array([v for _, v in own])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        s = np.round(v @ v.T, 6)
+        np.fill_diagonal(s, -9)
+        # The ids are sorted, so a stable sort settles ties by id.
+        for i, near in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :k].tolist()):
+            out |= {(ids[i], ids[j]) for j in near if s[i, j] >= least}
     return out
 
 
@@ -60,6 +64,30 @@ def test_dense_group(spark):
     assert len(i) < 20 * len(u)
 
 
+@pytest.mark.parametrize("d", [32, 768])
+def test_recall_of_lists(spark, d):
+    """Probing a measured number of cells finds at least the recall asked for, and blocks and salts lose nothing."""
+    rows = vectors(4000, d, 7)
+    rng = np.random.default_rng(8)
+    # Real vectors lie in groups: 200 directions with noise.
+    c = rng.normal(size=(200, d))
+    rows = [(i, "m", (c[n % 200] + 1.2 * rng.normal(size=d)).round(4).tolist()) for n, (i, _, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id string, m string, v array<double>").repartition(3)
+    got = N.nearest(df, id_col="id", vector_col="v", group_col="m", k=5, cell_rows=32, block_rows=300, min_probes=4).select("id", "neighbour_id").collect()
+    want = brute(rows, 5, -2)
+    assert len(got) == 5 * len(rows) and len(want & {tuple(r) for r in got}) >= 0.9 * len(want)
+
+
+def test_near_equal_group_looks_no_further(spark):
+    """A third of all rows within rounding of each other: every list is full and as similar as brute force."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2400, 16))
+    v[:800] = v[0] + rng.normal(size=(800, 16)) * 1e-9
+    df = spark.createDataFrame([(f"v{i:04d}", "m", x.tolist()) for i, x in enumerate(v)], "id string, m string, v array<double>")
+    got = N.nearest(df, id_col="id", vector_col="v", group_col="m", k=3, cell_rows=32, block_rows=100, min_probes=8).collect()
+    assert len(got) == 3 * 2400 and all(r.similarity > 1 - 1e-6 for r in got if r.id < "v0800")
+
+
 def test_defined_results_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", "m", [1.0, 0.0]), ("a", "m", [1.0, 0.0]), ("b", "m", [2.0, 0.0]), ("c", "m", None), ("d", "m", []), ("e", "m", [0.0, 0.0]), ("f", "m", [nan, 1.0]), ("g", "m", [1.0]), ("h", None, [1.0, 0.0]), (None, "m", [1.0, 0.0]), ("i", "m", [inf, 1.0]), ("j", "n", [1.0, 0.0]), ("k", "m", [None, 1.0])]

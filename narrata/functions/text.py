@@ -212,7 +212,7 @@ TITLE_PHRASES = (
 
 
 def title_case(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
 def insight_title(question: Column, answer: Column, action: Column) -> Column:
@@ -243,7 +243,7 @@ def without_heading(text: Column, title: Column) -> Column:
     def by_lines(x: Column) -> Column:
         lines, name = x["lines"], x["name"]
         first = F.lower(normalize_text(F.try_element_at(lines, F.lit(1))))
-        rest = STRIP(F.array_join(F.slice(lines, 2, 1_000_000), "\n\n"))
+        rest = STRIP(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n\n"))
         whole = normalize_text(text)
         tail = chain((r"^[ .:\n\t]+", ""))(F.substring(whole, F.length(name) + 1, F.lit(2_000_000_000)))
         return (

@@ -28,7 +28,7 @@ def ranked(queries: DataFrame, passages: DataFrame, k: int = 3, max_queries: int
     p = passages.where(V.usable(F.col("embedding"))).withColumn("np", V.norm(F.col("embedding")))
     s = p.join(q, "book_id").withColumn("s", V.cosine(F.col("embedding"), F.col("q"), F.col("np"), F.col("nq")))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "pos", "id")
-    k = min(max(k, 0), 20)
+    k = min(max(k, 1), 20)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("s", 6)).drop("s", "np", "nq", "q", "embedding")
 
 
@@ -190,8 +190,11 @@ def _cut(text: str, mark: str, value: Column) -> list[Column | str]:
 
 def passage_index(rows: DataFrame, model: str = "hashvec-16", dim: int = 16) -> DataFrame:
     """Passages ready to store: blank ones dropped after numbering, ids by book and place, embedded in the JVM."""
-    w = Window.partitionBy("book_id").orderBy("chapter_index", "chunk_index", "chapter")
-    r = rows.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).where(STRIP(F.coalesce("text", F.lit(""))) != "")
+    # Numbered in two steps, so that a large book is not one task: rows before a chapter, then within it.
+    per = rows.groupBy("book_id", "chapter_index").agg(F.count("*").alias("n"))
+    before = per.select("book_id", "chapter_index", (F.sum("n").over(Window.partitionBy("book_id").orderBy("chapter_index")) - F.col("n")).alias("__before"))
+    w = Window.partitionBy("book_id", "chapter_index").orderBy("chunk_index", "chapter")
+    r = rows.join(before, ["book_id", "chapter_index"]).withColumn("pos", (F.col("__before") + F.row_number().over(w) - 1).cast("long")).drop("__before").where(STRIP(F.coalesce("text", F.lit(""))) != "")
     return r.withColumns({"id": F.concat(F.lit("passage_"), F.col("book_id"), F.lit("_"), F.col("pos").cast("string")), "text": STRIP(F.col("text")), "embedding_model": F.lit(model), "embedding": V.hash_embedding(STRIP(F.col("text")), dim)})
 
 

@@ -38,6 +38,8 @@ def voices(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["voices"] = voices
+ORACLES["voices"] = f"""WITH v AS (SELECT unnest([{', '.join(f"'{x}'" for x in B.VOICES)}]) AS id), n AS (SELECT id, {"CASE substring(id, 1, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in B.LANGUAGES.items()) + " ELSE 'Unknown' END"} AS language, CASE WHEN substring(id, 2, 1) = 'f' THEN 'female' ELSE 'male' END AS gender FROM v)
+    SELECT id, id AS name, language, gender, (SELECT string_agg(upper(w[1]) || lower(w[2:]), ' ') FROM (SELECT unnest(string_split(replace(id, '_', ' '), ' ')) AS w)) || ' — ' || language || ' · ' || upper(gender[1]) || gender[2:] AS label FROM n"""
 
 
 @query(f"""SELECT chapter_id, concat_ws(' · ', coalesce(nullif({STRIP.sql('title')}, ''), 'Chapter ' || chapter_index), 'chunk ' || chapter_index || coalesce(' / ' || CASE WHEN chapter_index % 2 = 0 THEN 9 END, ''), CASE WHEN chapter_index % 3 = 0 THEN 'tts' END) AS position FROM {CHAPTERS}""")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.plans import joins, library, player, retrieval, runs, texts, timelines
+from narrata.plans import jobs, joins, library, player, retrieval, runs, texts, timelines
 
-_MODULES = (retrieval, texts, joins, timelines, library, runs, player)
+_MODULES = (retrieval, texts, joins, timelines, library, runs, player, jobs)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

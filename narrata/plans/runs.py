@@ -79,6 +79,10 @@ def silence_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["silence_stream"] = silence_stream
+# The stream ends at its last event, so a run is reported by timer if its silence ended ten minutes before that.
+ORACLES["silence_stream"] = """WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), n AS (SELECT max(ts) AS now FROM events)
+    SELECT user_id, ts AS quiet_from, (epoch_us(nxt) - epoch_us(ts)) / 1000000.0::DOUBLE AS quiet_s FROM e WHERE epoch_us(nxt) - epoch_us(ts) > 86400000000
+    UNION ALL SELECT user_id, ts, 86400.0 FROM e, n WHERE nxt IS NULL AND epoch_ms(ts) + 86400000 < epoch_ms(now) - 600000"""
 
 
 @query("""WITH f AS (SELECT DISTINCT book_id, chapter_index AS chapter, chunk_index AS n, coalesce(length(text), 0) AS size FROM passages WHERE book_id IS NOT NULL AND chapter_index IS NOT NULL AND chunk_index IS NOT NULL)

@@ -32,11 +32,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a temporary folder
-    is made and set.
+    Only where a local session names none (tests) a temporary folder is made and
+    set; on a cluster that would be a folder of one machine, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (master := spark.conf.get("spark.master", "")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.query import StreamingQuery
 
 from narrata import schemas
 from narrata.operators import runs
@@ -63,13 +62,19 @@ def silences(events: DataFrame, quiet_s: int = runs.STALE_S, late: str = "10 min
 
 
 def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what there is, to files in the shared folder or, for a changing result, to memory; and read it."""
+    """Run a stream over what there is, to files in the shared folder, and read it; of a result that changes (``complete``), the last state."""
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/narrata-{name}-{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     if mode != "append":
-        q: StreamingQuery = w.format("memory").queryName(name).start()
-        q.awaitTermination()
-        return spark.table(name)
+        states: list[str] = []
+
+        def keep(batch: DataFrame, i: int) -> None:
+            # The executors write each state; the driver only knows where it lies.
+            batch.write.mode("overwrite").parquet(f"{out}/{i}")
+            states.append(f"{out}/{i}")
+
+        w.foreachBatch(keep).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(states[-1]) if states else spark.createDataFrame([], df.schema)
     w.format("parquet").start(out).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)

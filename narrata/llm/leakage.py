@@ -6,9 +6,7 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.common import sliced
-from narrata.session import spread
+from narrata.session import spread, written
 
 SCHEMA = "doc_id bigint, item_id bigint, words int, edits int, at_word int"
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,120}>|\\[nrt]")
@@ -59,6 +57,37 @@ class Walks:
         self.take = [frozenset(rng.choice(np.arange(steps), samples, replace=False).tolist()) for _ in range(repetitions)]
         self.mix = rng.integers(1, 2**62, (repetitions, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @classmethod
+    def reaching(cls, recall: float = 0.995, least: int = 15, one_in: int = 8, most: int = 64, trials: int = 2000, seed: int = 20) -> Walks:
+        """As many repetitions as reach the recall on shortest runs with as many edits as may be.
+
+        Runs of ``least`` words with (least + 1) / one_in random edits between
+        random words are drawn; repetitions are added until that share of them
+        has a signature in common with the original, at starts within the run.
+        """
+        w, rng = cls(most, seed=seed), np.random.default_rng(seed)
+        missed = np.ones(trials, bool)
+        a, b = [], []
+        for _ in range(trials):
+            word = rng.integers(1, 2**62, 4 * w.steps, dtype=np.uint64)
+            run = word[:least].tolist()
+            for _ in range((least + 1) // one_in):
+                i, kind = int(rng.integers(1, len(run) - 1)), rng.integers(3)
+                run[i : i + (kind < 2)] = [] if kind == 0 else [int(rng.integers(1, 2**62))]
+            # What follows the run differs.
+            a.append(np.concatenate((word[: least + w.steps], np.zeros(w.steps, np.uint64))))
+            b.append(np.concatenate((np.array(run, np.uint64), word[2 * w.steps : 3 * w.steps + least - len(run)], np.zeros(w.steps, np.uint64))))
+        x, y = np.concatenate(a), np.concatenate(b)
+        pad = np.zeros(w.steps, np.uint64)
+        size = len(a[0])
+        for r in range(most):
+            p, q = (w.signatures(np.concatenate((z, pad)), r).reshape(trials, size)[:, :least] for z in (x, y))
+            missed &= ~(p[:, :, None] == q[:, None, :]).any((1, 2))
+            if missed.mean() <= 1 - recall:
+                break
+        w.odd, w.take, w.mix = w.odd[: r + 1], w.take[: r + 1], w.mix[: r + 1]
+        return w
+
     def signatures(self, h: np.ndarray, r: int) -> np.ndarray:
         """The sampled signature of the window at every place; ``h`` ends in ``steps`` padding words."""
         n = len(h) - self.steps
@@ -74,74 +103,59 @@ class Walks:
         return sig
 
 
-class Items:
-    """Signatures of every window of every item, for each repetition."""
-
-    #: Bits of the filter that most windows of a document fail at.
-    BITS = 22
-
-    def __init__(self, items: list[tuple[int, str]], walks: Walks) -> None:
-        self.walks, hashes = walks, _Hashes()
-        self.ids = [i for i, _ in items]
-        self.words = [np.array([hashes[w] for w in words(t or "")], np.uint64) for _, t in items]
-        pad = np.zeros(walks.steps, np.uint64)
-        flat = np.concatenate([np.concatenate((w, pad)) for w in self.words]) if items else pad
-        owner = np.repeat(np.arange(len(items)), [len(w) + walks.steps for w in self.words])
-        start = np.cumsum([0, *[len(w) + walks.steps for w in self.words]])
-        self.sig, self.owner, self.place, self.filter = [], [], [], []
-        for r in range(len(walks.take)):
-            s = walks.signatures(np.concatenate((flat, pad)), r)
-            inside = np.array([i < start[o] + max(1, len(self.words[o]) - 4) for i, o in enumerate(owner)]) if len(owner) else np.zeros(0, bool)
-            i = np.flatnonzero(inside)
-            i = i[np.argsort(s[i], kind="stable")]
-            self.sig.append(s[i])
-            self.owner.append(owner[i])
-            self.place.append(i - start[owner[i]])
-            f = np.zeros(1 << self.BITS, bool)
-            f[(s[i] & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
-            self.filter.append(f)
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(places in h, items, places in them)`` wherever signatures agree, each once."""
-        mask = np.uint64((1 << self.BITS) - 1)
-        got = [np.empty((3, 0), np.int64)]
-        for r in range(len(self.sig)):
-            s = self.walks.signatures(h, r)
-            p = np.flatnonzero(self.filter[r][(s & mask).astype(np.int64)])
-            lo = np.searchsorted(self.sig[r], s[p])
-            n = np.searchsorted(self.sig[r], s[p], side="right") - lo
-            k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            got.append(np.stack((np.repeat(p, n), self.owner[r][k], self.place[r][k])))
-        return tuple(np.unique(np.concatenate(got, axis=1), axis=1))
-
-    def likely(self, h: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, around: int = 14, drift: int = 3) -> np.ndarray:
-        """Which hits have enough pairs of words in common near them, on diagonals at most ``drift`` apart."""
-        pad = np.zeros(around + drift + 2, np.uint64)
-        pairs = lambda x: x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
-        a = pairs(np.concatenate((pad, h, pad)))
-        flat = np.concatenate([y for w in self.words for y in (pad, w, pad)] or [pad])
-        starts = np.cumsum([0, *[len(w) + 2 * len(pad) for w in self.words]])
-        b = pairs(flat)
-        # Pairs that reach into padding equal nothing on the other side.
-        b[flat[:-1] == 0] = np.uint64(1)
-        i, j = at + len(pad), starts[item] + place + len(pad)
-        ok = np.zeros(len(at), bool)
-        need = np.minimum(7, np.array([len(w) for w in self.words] or [0])[item] // 3)
-        steps = np.arange(-around, around + 5)
-        for c in range(0, len(at), 1 << 16):
-            x = a[np.minimum(i[c : c + (1 << 16), None] + steps, len(a) - 1)]
-            same = np.zeros(x.shape, bool)
-            for d in range(-drift, drift + 1):
-                same |= x == b[np.clip(j[c : c + (1 << 16), None] + steps + d, 0, len(b) - 1)]
-            ok[c : c + (1 << 16)] = same.sum(1) >= need[c : c + (1 << 16)]
-        return ok
+def _marks(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A filter of ``2 ** bits`` bits of whole numbers, built by the executors; at most that many bits reach the driver."""
+    x = F.pmod(F.col(column), F.lit(1 << bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(x).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("m")).collect()
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[: len(out) - at]
+    return out
+
+
+def _held(marks: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the numbers the filter may hold."""
+    x = x & np.uint64(8 * len(marks) - 1)
+    return (marks[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def likely(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, least: int = 15, one_in: int = 8) -> np.ndarray:
+    """Which hits can lie in a run that counts.
+
+    A run of n words (``least``, or the whole of a shorter item) with at most
+    (n + 1) / ``one_in`` edits has n - 1 - 2 edits pairs of neighbouring words in
+    common, all within n - 1 places and that many diagonals of any hit in it; a
+    longer run holds one of that length around any place. So nothing that counts
+    is lost, as long as its hit lies in it.
+    """
+    n = min(least, len(item))
+    edits = (n + 1) // one_in
+    need, drift, around = max(1, n - 1 - 2 * edits), edits + 1, n + edits
+    pad = np.zeros(around + drift + 2, np.uint64)
+    pairs = lambda x: x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
+    a, b = pairs(np.concatenate((pad, doc, pad))), pairs(np.concatenate((pad, item, pad)))
+    # Pairs that reach into padding equal nothing on the other side.
+    for x, size, no in ((a, len(doc), 1), (b, len(item), 2)):
+        x[: len(pad)] = no
+        x[len(pad) + size - 1 :] = no
+    i, j, steps = at + len(pad), place + len(pad), np.arange(-around, around + 1)
+    ok = np.zeros(len(at), bool)
+    for c in range(0, len(at), 4096):
+        x = a[np.clip(i[c : c + 4096, None] + steps, 0, len(a) - 1)]
+        same = np.zeros(x.shape, bool)
+        for d in range(-drift, drift + 1):
+            same |= x == b[np.clip(j[c : c + 4096, None] + steps + d, 0, len(b) - 1)]
+        ok[c : c + 4096] = same.sum(1) >= need
+    return ok
 
 
 def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int = 8) -> tuple[int, int] | None:
     """``(words, edits)`` of the longest run of item words that the text holds.
 
     The run has at least ``least`` words (or the whole item), of which about one
-    in ``one_in`` may be changed, dropped or inserted. Exact, by local alignment.
+    in ``one_in`` may be changed, dropped or inserted. By local alignment; the
+    alignments are tried from the best score down until one holds a run.
     """
     n, m = len(item), len(doc)
     score = [[0] * (m + 1) for _ in range(n + 1)]
@@ -157,7 +171,9 @@ def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int =
     tried: set[tuple[int, int]] = set()
     best = None
     need = min(least, n)
-    ends = sorted(((score[i][j], i, j) for i in range(1, n + 1) for j in range(1, m + 1) if score[i][j] >= max(1, need // 2)), reverse=True)
+    # A run of that many words with so many edits scores at least this.
+    floor = max(1, need - 2 * ((need + 1) // one_in))
+    ends = sorted(((v, i, j) for i, row in enumerate(score) for j, v in enumerate(row) if v >= floor), reverse=True)
     for _, i, j in ends:
         if (i, j) in tried:
             continue
@@ -174,6 +190,8 @@ def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int =
             else:
                 ops.append((0, 1))
                 j -= 1
+        if len(ops) < need:
+            continue
         # The longest stretch of the alignment in which edits are rare enough.
         for a in range(len(ops)):
             if ops[a][1]:
@@ -183,67 +201,101 @@ def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int =
                 length, edits = length + k, edits + e
                 if not e and length >= need and edits * one_in <= length + 1 and (best is None or length > best[0]):
                     best = (length, edits)
-        if best or len(ops) < need // 2:
+        if best:
             break
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 15, one_in: int = 8, block_items: int = 20_000, walks: Walks | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 15, one_in: int = 8, target_recall: float = 0.995, filter_bits: int = 26, walks: Walks | None = None) -> DataFrame:
     """``doc_id, item_id, words, edits, at_word``: documents that hold test items, or long parts of them.
 
-    Every window of every document meets every window of the items through
-    sampled CGK walks; whatever meets is verified by exact alignment. Items are
-    the query set: they go to all rows in blocks of ``block_items``. Null texts,
-    null ids and texts without words take part in nothing; repeated rows count
-    once; other columns are not read.
+    Windows have the length of the shortest run that counts. Every window of
+    every document meets every window of the items through sampled CGK walks, as
+    many as reach ``target_recall``: the items' signatures are a table and a
+    filter of ``2 ** filter_bits`` bits; windows that the filter may hold are
+    joined with the table by shuffle. Documents with hits are read again (found
+    by a filter of their ids), and whatever meets is verified by alignment with
+    the whole item. Null texts, null ids and texts without words take part in
+    nothing; repeated rows count once; where an id has several texts, each
+    counts; other columns are not read.
     """
-    walks = walks or Walks()
-    asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates(["i"])
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
-    rows, found, block = spread(rows), [], []
-
-    def against(block: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, hashes, pad = Items(block, walks), _Hashes(), np.zeros(walks.steps, np.uint64)
-            for b in sliced(batches, 1):
-                ids, out = b.column(0).to_pylist(), []
-                parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in map(words, b.column(1).to_pylist())]
+    walks = walks or Walks.reaching(target_recall, least_words, one_in)
+    asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().withColumn("ih", F.xxhash64("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d IS NOT NULL AND t IS NOT NULL").withColumn("dh", F.xxhash64("t"))
+    rows, marks = spread(rows), np.zeros(0, np.uint8)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``s, id, h, at``: signatures of the windows of texts ``(id, text, h)``, of those the filter may hold."""
+        hashes, pad = _Hashes(), np.zeros(walks.steps, np.uint64)
+        for b in batches:
+            for part in sliced(iter([b]), 1):
+                texts = [words(t) for t in part.column(1).to_pylist()]
                 if len(hashes) > 2_000_000:
                     hashes.clear()
-                # Texts lie in one array, with padding between them.
+                parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in texts]
                 flat = np.concatenate([x for p in parts for x in (p, pad)] or [pad])
                 starts = np.cumsum([0, *[len(p) + walks.steps for p in parts]])
+                # A walk covers about half as many words as it has steps; it starts where so many are left, or at the first word.
+                inside = np.zeros(len(flat), bool)
+                for at, p in zip(starts.tolist(), parts, strict=False):
+                    inside[at : at + max(min(1, len(p)), len(p) - walks.steps // 2 + 1)] = True
                 wide = np.concatenate((flat, pad))
-                at, item, place = known.hits(wide)
-                keep = known.likely(wide, at, item, place)
-                at, item, place = at[keep], item[keep], place[keep]
-                text = np.searchsorted(starts, at, side="right") - 1
-                near: dict[tuple[int, int], set[int]] = defaultdict(set)
-                for k, i, diagonal in zip(text.tolist(), item.tolist(), (at - starts[text] - place).tolist(), strict=True):
-                    near[k, i].add(diagonal)
-                for (k, i), diagonals in near.items():
-                    best, done = None, set[int]()
-                    doc, it = parts[k], known.words[i]
-                    for g in sorted(diagonals):
-                        if g // 8 in done:
+                got_s, got_at = [], []
+                for r in range(len(walks.take)):
+                    s = (walks.signatures(wide, r) ^ np.uint64(r)) * walks.mix[r, 0]
+                    s ^= s >> np.uint64(31)
+                    at = np.flatnonzero(inside & _held(marks, s) if len(marks) else inside)
+                    got_s.append(s[at])
+                    got_at.append(at)
+                s, at = np.concatenate(got_s), np.concatenate(got_at)
+                own = np.searchsorted(starts, at, side="right") - 1
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), part.column(0).take(take), part.column(2).take(take), pa.array((at - starts[own]).astype(np.int32))], names=["s", "id", "h", "at"])
+
+    schema = "s bigint, id bigint, h bigint, at int"
+    known = written(asked.select("i", "t", "ih").mapInArrow(windows, schema), "signatures")
+    marks = _marks(known, "s", filter_bits)
+    met = rows.select("d", "t", "dh").mapInArrow(windows, schema).select("s", F.col("id").alias("d"), F.col("h").alias("dh"), "at")
+    hits = met.join(known.select("s", F.col("id").alias("i"), F.col("h").alias("ih"), F.col("at").alias("place")), "s").groupBy("d", "dh", "i", "ih").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
+    hits = written(hits, "hits")
+    here = _marks(hits.select("dh"), "dh", filter_bits)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_held(here, b.column(2).to_numpy().view(np.uint64))))
+
+    texts = rows.select("d", "t", "dh").mapInArrow(again, "d bigint, t string, dh bigint").dropDuplicates(["d", "dh"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, item_words = _Hashes(), dict[str, np.ndarray]()
+        as_array = lambda t: np.fromiter(map(hashes.__getitem__, w := words(t)), np.uint64, len(w))
+        for b in batches:
+            for part in sliced(iter([b]), 2):
+                out, last, doc = [], None, None
+                for d, i, t, it, found in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                    if last != t:
+                        last, doc = t, as_array(t)
+                    if (item := item_words.get(it)) is None:
+                        if len(item_words) > 10_000:
+                            item_words.clear()
+                        item = item_words[it] = as_array(it)
+                    at, place = (np.array([x[k] for x in found], np.int64) for k in ("at", "place"))
+                    keep = likely(doc, item, at, place, least_words, one_in)
+                    best, upto = None, None
+                    # Each stretch of diagonals is aligned once, with room for all edits the item may have.
+                    room = 16 + len(item) // one_in
+                    for g in sorted(set((at[keep] - place[keep]).tolist())):
+                        if upto is not None and g < upto:
                             continue
-                        done.add(g // 8)
-                        begin = max(0, g - 16)
-                        got = shared_span(doc[begin : g + len(it) + 16].tolist(), it.tolist(), least_words, one_in)
+                        upto, begin = g + 8, max(0, g - room)
+                        got = shared_span(doc[begin : g + 8 + len(item) + room].tolist(), item.tolist(), least_words, one_in)
                         if got and (best is None or got > best[:2]):
                             best = (*got, begin)
                     if best:
-                        out.append((ids[k], known.ids[i], *best))
+                        out.append((d, i, *best))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "words", "edits", "at_word"])
 
-        return rows.mapInArrow(run, SCHEMA)
-
-    for r in asked.orderBy("i").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == block_items:
-            found.append(against(block))
-            block = []
-    if block or not found:
-        found.append(against(block))
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "item_id"])
+    pairs = hits.join(texts, ["d", "dh"]).join(asked.withColumnRenamed("t", "it"), ["i", "ih"]).select("d", "i", "t", "it", "hits")
+    found = pairs.repartition("d", "i").mapInArrow(verified, SCHEMA)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", -F.col("edits"), -F.col("at_word"))).alias("x")).select("doc_id", "item_id", "x.words", (-F.col("x.col2")).alias("edits"), (-F.col("x.col3")).alias("at_word"))

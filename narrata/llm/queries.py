@@ -41,11 +41,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chapters").select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").cast("string").alias("item_id"), "text")
+    return c.unionByName(table(spark, d, "passages").select(F.lit("passage").alias("item_kind"), F.col("id").alias("item_id"), "text"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The items that look like others, one row each with its class."""
+    return lookalike.classes(_texts(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that look the same but are stored differently."""
-    c = table(spark, d, "chapters").select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").cast("string").alias("item_id"), "text")
-    p = table(spark, d, "passages").select(F.lit("passage").alias("item_kind"), F.col("id").alias("item_id"), "text")
-    return lookalike.same_looking(c.unionByName(p))
+    return lookalike.same_looking(_texts(spark, d))
 
 
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +94,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_classes": p4_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits

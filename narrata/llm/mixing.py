@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import heapq
+import math
 import os
 from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +23,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def token_counts(docs: DataFrame, *, text_col: str = "text", tokenizer_path: str = TOKENIZER, pattern: str = PATTERN, out_col: str = "n_tokens") -> DataFrame:
-    """``docs`` without its text, with the number of tokens of the whole text (null for null) and its digest ``text_key``."""
+    """``docs`` without its text (a public byte-level BPE vocabulary in tiktoken's format; the driver must hold the file), with the number of tokens of the whole text (null for null) and its digest ``text_key``."""
     rest = [c for c in docs.columns if c not in (text_col, out_col, "text_key")]
-    width = len(rest) + 2
+    width, name = len(rest) + 2, os.path.basename(tokenizer_path)
+    # The driver's copy is shipped; executors need none of their own.
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer_path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding(os.path.basename(tokenizer_path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in sliced(batches, width - 1):
             n = [None if t is None else len(enc.encode_ordinary(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], out_col])
@@ -40,7 +45,7 @@ def token_counts(docs: DataFrame, *, text_col: str = "text", tokenizer_path: str
 
 
 class Flow:
-    """Minimum-cost maximum flow by successive shortest paths, for graphs of a few thousand edges."""
+    """Minimum-cost maximum flow by successive shortest paths: Dijkstra with a heap and node potentials, all paths of a length at once."""
 
     def __init__(self, nodes: int) -> None:
         self.out: list[list[int]] = [[] for _ in range(nodes)]
@@ -57,23 +62,46 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, s: int, t: int, least: float = 1e-6) -> float:
-        total = 0.0
+        total, height = 0.0, [0.0] * len(self.out)
         while True:
-            dist, via, queue = {s: 0.0}, dict[int, int](), [s]
-            while queue:
-                a = queue.pop(0)
+            dist, heap = [math.inf] * len(self.out), [(0.0, s)]
+            dist[s] = 0.0
+            while heap:
+                d, a = heapq.heappop(heap)
+                if d > dist[a]:
+                    continue
                 for e in self.out[a]:
-                    if self.cap[e] > least and dist[a] + self.cost[e] < dist.get(self.to[e], float("inf")) - 1e-12:
-                        dist[self.to[e]] = dist[a] + self.cost[e]
-                        via[self.to[e]] = e
-                        if self.to[e] not in queue:
-                            queue.append(self.to[e])
-            if t not in via:
+                    b = self.to[e]
+                    if self.cap[e] > least and (n := d + max(0.0, self.cost[e] + height[a] - height[b])) < dist[b] - 1e-12:
+                        dist[b] = n
+                        heapq.heappush(heap, (n, b))
+            if dist[t] == math.inf:
                 return total
-            path, v = [], t
-            while v != s:
-                path.append(via[v])
-                v = self.to[via[v] ^ 1]
+            height = [h + min(d, dist[t]) for h, d in zip(height, dist, strict=True)]
+            total += self._fill(s, t, height, least)
+
+    def _fill(self, s: int, t: int, height: list[float], least: float) -> float:
+        """A blocking flow along edges of no reduced cost."""
+        total, nth = 0.0, [0] * len(self.out)
+        while True:
+            path, on, a = list[int](), {s}, s
+            while a != t:
+                while nth[a] < len(self.out[a]):
+                    e = self.out[a][nth[a]]
+                    b = self.to[e]
+                    if self.cap[e] > least and b not in on and abs(self.cost[e] + height[a] - height[b]) < 1e-9:
+                        break
+                    nth[a] += 1
+                if nth[a] < len(self.out[a]):
+                    path.append(e)
+                    on.add(b)
+                    a = b
+                elif path:
+                    on.discard(a)
+                    a = self.to[path.pop() ^ 1]
+                    nth[a] += 1
+                else:
+                    return total
             push = min(self.cap[e] for e in path)
             for e in path:
                 self.cap[e] -= push
@@ -119,7 +147,7 @@ def largest_total(patterns: dict[tuple[str, ...], float], shares: dict[str, floa
     return lo
 
 
-def mixture(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: float | None = None, seed: int = 17, tokenizer_path: str = TOKENIZER, max_sources: int = 1000, max_patterns: int = 20_000) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: float | None = None, seed: int = 17, tokenizer_path: str = TOKENIZER, max_patterns: int = 5_000, broadcast_rows: int = 200_000) -> DataFrame:
     """``doc_id, source, n_tokens, repeats``: the documents of the mixture, and how often each is used.
 
     ``targets(source, target_share, max_repeats)``. A document is a distinct
@@ -133,21 +161,27 @@ def mixture(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text
 
     Null text, null source, sources without target, shares of 0 or null and
     ``max_repeats`` below 1 give no rows; empty texts have no tokens and are not
-    taken. Repeated rows count once. Only the targets and one row for each set of
-    sources reach the driver (at most ``max_sources``, ``max_patterns``).
+    taken. Repeated rows count once. The targets and the ``max_patterns`` largest
+    sets of sources reach the driver; a text under any other set serves one of
+    its sources, chosen by the seed, so every text keeps its chance.
     """
-    rows = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    spark = docs.sparkSession
+    rows = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).collect()
     share, repeats = {r["source"]: float(r["w"]) for r in rows}, {r["source"]: int(r["r"]) for r in rows}
     counted = token_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("source").isin(list(share)) & F.col("text").isNotNull() & F.col("doc_id").isNotNull()), tokenizer_path=tokenizer_path)
     by_source = counted.where("n_tokens > 0").groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"))
     texts = by_source.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("under"), F.first("n_tokens").alias("n_tokens"))
     place = F.xxhash64(F.lit(seed), "text_key")
     texts = written(texts.select("text_key", "under", "n_tokens", F.concat_ws("\x1f", F.transform("under", lambda x: x["source"])).alias("pattern"), place.alias("place")), "texts")
-    seen = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).limit(max_patterns + 1).collect()
+    by_pattern = lambda: texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    seen = by_pattern().orderBy(F.desc("n"), "pattern").limit(max_patterns + 1).collect()
     if len(seen) > max_patterns:
-        raise ValueError(f"more than {max_patterns} sets of sources")
+        kept = spark.createDataFrame([(r["pattern"], True) for r in seen[:max_patterns]], "pattern string, kept boolean")
+        one = F.element_at(F.split("pattern", "\x1f"), (F.pmod(F.xxhash64(F.lit(seed + 1), "text_key"), F.size(F.split("pattern", "\x1f"))) + 1).cast("int"))
+        texts = texts.join(kept, "pattern", "left").withColumn("pattern", F.when(F.col("kept"), F.col("pattern")).otherwise(one)).drop("kept")
+        texts = written(texts, "merged")
+        # No more than the kept sets and one for each source.
+        seen = by_pattern().collect()
     patterns = {tuple(r["pattern"].split("\x1f")): float(r["n"]) for r in seen}
     total = largest_total(patterns, share, repeats) if total_tokens is None else float(total_tokens)
     got = allocate(patterns, {s: w * total for s, w in share.items()}, repeats) if patterns else {}
@@ -160,7 +194,6 @@ def mixture(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text
             for s in here:
                 ends.append(ends[-1] + got[p, r, s])
             stretches += [("\x1f".join(p), s, a, b) for s, (a, b) in zip(here, pairwise(ends), strict=True)]
-    spark = docs.sparkSession
     cut = spark.createDataFrame(stretches, "pattern string, source string, lo double, hi double")
     # Running totals in two steps, so that no set of sources is one task: by bucket of the order, then within.
     buckets = int(min(1 << 20, max(16, max((r["k"] for r in seen), default=0) // 20_000)))
@@ -171,7 +204,7 @@ def mixture(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text
     at = b.join(before, ["pattern", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     # A text belongs where its middle lies: rounding errs to either side alike.
     middle = F.col("at") + F.col("n_tokens") / 2.0
-    used = at.join(F.broadcast(cut), "pattern").where((middle >= F.col("lo")) & (middle < F.col("hi")))
+    used = at.join(F.broadcast(cut) if len(stretches) <= broadcast_rows else cut, "pattern").where((middle >= F.col("lo")) & (middle < F.col("hi")))
     out = used.groupBy("text_key", "source").agg(F.first("under").alias("under"), F.first("n_tokens").alias("n_tokens"), F.count("*").cast("int").alias("repeats"))
     return out.select(F.filter("under", lambda x: x["source"] == F.col("source"))[0]["doc_id"].alias("doc_id"), "source", "n_tokens", "repeats")
 

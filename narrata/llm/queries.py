@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.llm import leakage, lookalike, mixing, mojibake, nearest, pairs, sentences, split
@@ -19,7 +19,22 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The items that had to be cut."""
-    return p1_pieces(spark, d).where("chunk_index = 1").select("item_kind", "item_id")
+    return p1_pieces(spark, d).where("chunk_index = 1").select("item_kind", "item_id").distinct()
+
+
+def p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many oversized items have pieces that break a rule: limit, overlap, text, or that do not cover the item."""
+    limits = table(spark, d, "split_limits")
+    c, p = table(spark, d, "chapters"), table(spark, d, "passages")
+    items = c.select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").cast("string").alias("item_id"), F.lit(None).cast("string").alias("m"), "text").unionByName(p.select(F.lit("passage").alias("item_kind"), F.col("id").alias("item_id"), F.col("embedding_model").alias("m"), "text")).dropDuplicates(["item_kind", "item_id"])
+    lim = limits.select("item_kind", F.col("embedding_model").alias("m"), "max_chars", "overlap_chars")
+    big = items.join(F.broadcast(lim), (items["item_kind"] == lim["item_kind"]) & items["m"].eqNullSafe(lim["m"])).where(F.length("text") > F.col("max_chars")).select(items["item_kind"], "item_id", F.col("text").alias("whole"), "max_chars", "overlap_chars")
+    x = p1_pieces(spark, d).join(big, ["item_kind", "item_id"])
+    before = F.lag("end_pos").over(Window.partitionBy("item_kind", "item_id").orderBy("chunk_index"))
+    last = F.max("end_pos").over(Window.partitionBy("item_kind", "item_id"))
+    wrong = (F.length("text") > F.col("max_chars")) | (F.substring("whole", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")) != F.col("text")) | (F.col("start_pos") != F.coalesce(F.col("before") - F.col("overlap_chars"), F.lit(0))) | (F.col("last") != F.length("whole"))
+    x = x.withColumns({"before": before, "last": last})
+    return x.groupBy("item_kind").agg(F.count_distinct("item_id").alias("items"), F.count_if(wrong).alias("wrong"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +99,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of the mixture break a rule: cap, unknown source, a share more than 1 % off where the source has documents."""
+    t = table(spark, d, "mix_targets")
+    m = p7_mixture(spark, d)
+    x = m.join(t, "source", "left").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("target_share").isNull()).alias("unknown_source"))
+    held = F.sum("target_share").over(Window.partitionBy(F.lit(1)))
+    s = mixing.shares(m, t).where("n_docs > 0").withColumn("want", F.col("target_share") / held)
+    return x.crossJoin(s.agg(F.count_if(F.abs(F.col("actual_share") - F.col("want")) > 0.01).alias("off_share")))
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every document, with its text as it should have been decoded."""
     return mojibake.restored(table(spark, d, "documents"))
@@ -94,7 +119,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).where("damaged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_classes": p4_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rules": p1_rules, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_classes": p4_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_rules": p7_rules, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {
     "p1_found": """
         SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits
@@ -102,6 +127,11 @@ ORACLES = {
         UNION ALL
         SELECT DISTINCT 'passage', id FROM passages p JOIN split_limits s ON s.embedding_model = p.embedding_model
         WHERE item_kind = 'passage' AND length(text) > max_chars""",
+    "p1_rules": """
+        SELECT item_kind, count(*) AS items, 0::BIGINT AS wrong FROM (
+        SELECT DISTINCT 'chapter' AS item_kind, chapter_id::VARCHAR AS item_id FROM chapters, split_limits WHERE item_kind = 'chapter' AND length(text) > max_chars
+        UNION ALL SELECT DISTINCT 'passage', id FROM passages p JOIN split_limits s ON s.embedding_model = p.embedding_model WHERE item_kind = 'passage' AND length(text) > max_chars) GROUP BY item_kind""",
+    "p7_rules": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS unknown_source, 0::BIGINT AS off_share",
     "p3_found": """
         WITH v AS (SELECT DISTINCT id, embedding_model AS m, embedding AS e FROM passages WHERE id IS NOT NULL AND embedding_model IS NOT NULL AND len(embedding) = 32
                    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -97,7 +97,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, *, item_kind: str, id_c
     Result: ``item_kind, item_id, chunk_index (from 0), start_pos, end_pos, text``.
     Null text, null ids, a null or non-positive ``max_chars`` and items without a
     limits row give no pieces; a null overlap counts as 0. Copies of an item
-    (same id) are cut once. Other columns of ``items`` are not read. ``limits``
+    (same id, text and limit) are cut once; other texts of an id are cut too. Other columns of ``items`` are not read. ``limits``
     is broadcast only up to ``max_limits`` rows, else joined by shuffle.
     """
     lim = limits.where((F.col("item_kind") == item_kind) & (F.col("max_chars") > 0)).select(
@@ -109,5 +109,5 @@ def split_oversized(items: DataFrame, limits: DataFrame, *, item_kind: str, id_c
     model: Column = F.col(model_col) if model_col else F.lit(None).cast("string")
     rows = items.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__t"), model.alias("__im"))
     big = rows.join(lim, F.col("__im").eqNullSafe(F.col("__m"))).where(F.col("__id").isNotNull() & (F.length("__t") > F.col("__max")))
-    one = big.select(F.lit(item_kind).alias("item_kind"), "__id", "__t", "__max", "__ov").dropDuplicates(["__id"])
+    one = big.select(F.lit(item_kind).alias("item_kind"), "__id", "__t", "__max", "__ov").withColumn("__h", F.md5("__t")).dropDuplicates(["__id", "__max", "__h"]).drop("__h")
     return one.mapInArrow(_split_batches, PIECE_SCHEMA)

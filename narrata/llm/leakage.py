@@ -206,7 +206,7 @@ def shared_span(doc: list[int], item: list[int], least: int = 15, one_in: int =
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 15, one_in: int = 8, target_recall: float = 0.995, filter_bits: int = 26, walks: Walks | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 15, one_in: int = 8, target_recall: float = 0.995, filter_bits: int = 26, item_chars: int = 32 << 20, walks: Walks | None = None) -> DataFrame:
     """``doc_id, item_id, words, edits, at_word``: documents that hold test items, or long parts of them.
 
     Windows have the length of the shortest run that counts. Every window of
@@ -266,36 +266,47 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 
     texts = rows.select("d", "t", "dh").mapInArrow(again, "d bigint, t string, dh bigint").dropDuplicates(["d", "dh"])
 
+    # Items are a stated set: their texts go along with the task up to a size that is checked, else with the pairs.
+    small = (asked.agg(F.sum(F.length("t"))).first()[0] or 0) <= item_chars
+    held = {(r["i"], r["ih"]): r["t"] for r in asked.collect()} if small else {}
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, item_words = _Hashes(), dict[str, np.ndarray]()
+        hashes, item_words = _Hashes(), dict[tuple[int, int], np.ndarray]()
         as_array = lambda t: np.fromiter(map(hashes.__getitem__, w := words(t)), np.uint64, len(w))
         for b in batches:
-            for part in sliced(iter([b]), 2):
-                out, last, doc = [], None, None
-                for d, i, t, it, found in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
-                    if last != t:
-                        last, doc = t, as_array(t)
-                    if (item := item_words.get(it)) is None:
-                        if len(item_words) > 10_000:
-                            item_words.clear()
-                        item = item_words[it] = as_array(it)
-                    at, place = (np.array([x[k] for x in found], np.int64) for k in ("at", "place"))
-                    keep = likely(doc, item, at, place, least_words, one_in)
-                    best, upto = None, None
-                    # Each stretch of diagonals is aligned once, with room for all edits the item may have.
-                    room = 16 + len(item) // one_in
-                    for g in sorted(set((at[keep] - place[keep]).tolist())):
-                        if upto is not None and g < upto:
+            for part in sliced(iter([b]), 1):
+                out = []
+                for d, t, pairs in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    doc = as_array(t)
+                    for x in pairs:
+                        if (item := item_words.get(key := (x["i"], x["ih"]))) is None:
+                            if len(item_words) > 10_000:
+                                item_words.clear()
+                            item = item_words[key] = as_array(held[key] if small else x["it"])
+                        at, place = (np.array([h[k] for h in x["hits"]], np.int64) for k in ("at", "place"))
+                        keep = likely(doc, item, at, place, least_words, one_in)
+                        if not keep.any():
                             continue
-                        upto, begin = g + 8, max(0, g - room)
-                        got = shared_span(doc[begin : g + 8 + len(item) + room].tolist(), item.tolist(), least_words, one_in)
-                        if got and (best is None or got > best[:2]):
-                            best = (*got, begin)
-                    if best:
-                        out.append((d, i, *best))
+                        best, upto = None, None
+                        # Each stretch of diagonals is aligned once, with room for all edits the item may have.
+                        room = 16 + len(item) // one_in
+                        for g in sorted(set((at[keep] - place[keep]).tolist())):
+                            if upto is not None and g < upto:
+                                continue
+                            upto, begin = g + 8, max(0, g - room)
+                            got = shared_span(doc[begin : g + 8 + len(item) + room].tolist(), item.tolist(), least_words, one_in)
+                            if got and (best is None or got > best[:2]):
+                                best = (*got, begin)
+                        if best:
+                            out.append((d, x["i"], *best))
+                if len(hashes) > 2_000_000:
+                    hashes.clear()
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "words", "edits", "at_word"])
 
-    pairs = hits.join(texts, ["d", "dh"]).join(asked.withColumnRenamed("t", "it"), ["i", "ih"]).select("d", "i", "t", "it", "hits")
-    found = pairs.repartition("d", "i").mapInArrow(verified, SCHEMA)
+    if small:
+        pairs = hits.groupBy("d", "dh").agg(F.collect_list(F.struct("i", "ih", "hits")).alias("pairs")).join(texts, ["d", "dh"])
+    else:
+        pairs = hits.join(asked.withColumnRenamed("t", "it"), ["i", "ih"]).join(texts, ["d", "dh"]).withColumn("pairs", F.array(F.struct("i", "ih", "it", "hits")))
+    found = pairs.select("d", "t", "pairs").mapInArrow(verified, SCHEMA)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", -F.col("edits"), -F.col("at_word"))).alias("x")).select("doc_id", "item_id", "x.words", (-F.col("x.col2")).alias("edits"), (-F.col("x.col3")).alias("at_word"))

@@ -48,6 +48,7 @@ def test_odd_rows(spark):
     text = " ".join(make(30, 7))
     docs = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, None, 0), (3, "", 0), (None, text, 0), (4, (" ".join(make(50_000, 9))) + " " + text, 0)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(10, text), (10, text), (11, None), (12, ""), (13, "w1 w2 w3"), (14, text + " tail")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in L.leaks(docs, items).collect()} == {(1, 10), (4, 10), (1, 14), (4, 14)}
+    for most in (1 << 20, 0):
+        assert {(r.doc_id, r.item_id) for r in L.leaks(docs, items, item_chars=most).collect()} == {(1, 10), (4, 10), (1, 14), (4, 14)}
     assert L.leaks(docs.where("false"), items).count() == 0
     assert L.leaks(docs, items.where("false")).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.operators import books as K
 from narrata.operators import jobs as J
 from narrata.operators import library as B
 from narrata.operators import retrieval as A
@@ -191,3 +192,11 @@ def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of each chapter, and how many of them a selective rewrite would take."""
     r = texts.rewrite_decisions(spark, d)
     return r.groupBy("chapter_id").agg(F.count("*").alias("total_chunks"), F.count_if("use_llm").alias("llm_chunks"))
+
+
+@query(f"""WITH w AS ({texts.WINDOWS_SQL}), c AS (SELECT w.chapter_id, chunk_index, piece, book_id, chapter_index, title, source FROM w JOIN {CHAPTERS} USING (chapter_id) WHERE book_id IS NOT NULL)
+    SELECT 'passage_' || book_id || '_' || (row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, chunk_index) - 1) AS id, title AS chapter, source AS href, chapter_index, chunk_index, md5(piece) AS text_md5 FROM c""")
+def chapter_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every chapter's passages, numbered through the book, with what is needed to cite them."""
+    c = chapters(spark, d, "book_id", "chapter_index", "title", "source", "text")
+    return K.passages(c).select("id", "chapter", "href", "chapter_index", "chunk_index", F.md5("text").alias("text_md5"))

@@ -213,6 +213,14 @@ def overlap_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["overlap_windows"] = overlap_windows
+# The recursive twin: a window ends at the last blank of its last 240 characters; a last piece under 80 joins the one before.
+WINDOWS_SQL = f"""WITH RECURSIVE c AS (SELECT chapter_id, {SQUEEZE.sql('text')} AS t FROM {CHAPTERS} WHERE text IS NOT NULL), w(chapter_id, t, k, a, e) AS (
+      SELECT chapter_id, t, 0, 0, CASE WHEN length(t) <= 1200 THEN length(t) WHEN contains(substring(t, 961, 240), ' ') THEN 1200 - strpos(reverse(substring(t, 961, 240)), ' ') ELSE 1200 END FROM c WHERE t <> ''
+      UNION ALL SELECT chapter_id, t, k + 1, e - 150, CASE WHEN e + 1050 >= length(t) THEN length(t) WHEN contains(substring(t, e + 811, 240), ' ') THEN e + 1050 - strpos(reverse(substring(t, e + 811, 240)), ' ') ELSE e + 1050 END FROM w WHERE e < length(t)),
+    p AS (SELECT chapter_id, k, e = length(t) AS last, trim(substring(t, a + 1, e - a), ' ') AS piece FROM w),
+    m AS (SELECT *, lead(piece) OVER (PARTITION BY chapter_id ORDER BY k) AS nxt, lead(last) OVER (PARTITION BY chapter_id ORDER BY k) AS nxt_last FROM p)
+    SELECT chapter_id, k::INTEGER AS chunk_index, CASE WHEN nxt_last AND length(nxt) < 80 THEN trim(piece || ' ' || nxt, ' ') ELSE piece END AS piece FROM m WHERE k = 0 OR NOT (last AND length(piece) < 80)"""
+ORACLES["overlap_windows"] = WINDOWS_SQL
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT chapter_id, list(text ORDER BY i) AS u FROM {_PARA} GROUP BY chapter_id),

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import glob
+import io
 import os
 import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from narrata import schemas
@@ -53,10 +56,10 @@ def _toc(z: zipfile.ZipFile, manifest: list[tuple[str, str, str, str]], folder:
     return out
 
 
-def read_epub(path: str) -> Iterator[tuple]:
-    """Rows of one file: its documents with spine places, contents and metadata. A broken file gives none."""
+def read_epub(path: str, content: bytes | None = None) -> Iterator[tuple]:
+    """Rows of one file (or of its ``content``): its documents with spine places, contents and metadata. A broken file gives none."""
     try:
-        z = zipfile.ZipFile(path)
+        z = zipfile.ZipFile(path if content is None else io.BytesIO(content))
         opf = ET.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
         package = ET.fromstring(z.read(opf))
     except (zipfile.BadZipFile, KeyError, ET.ParseError, OSError, AttributeError):
@@ -104,3 +107,16 @@ class EpubSource(DataSource):
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options["path"].removeprefix("file://").removeprefix("file:"))
+
+
+def scan(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """The same rows from any file system Spark reads: files come as binary rows and are taken apart where they lie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in schemas.EPUB_ITEM.fields]
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame(list(read_epub(name, content)), columns=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, schemas.EPUB_ITEM)

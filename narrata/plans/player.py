@@ -60,6 +60,10 @@ def headless_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["headless_texts"] = headless_texts
+_END = "regexp_replace({}, '[.:]+$', '')"
+ORACLES["headless_texts"] = f"""WITH c AS (SELECT chapter_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.sql('x')}), lambda x: x <> '') AS lines, lower({T.normalize_text_sql("coalesce(title, '')")}) AS name, {T.normalize_text_sql('text')} AS whole FROM {CHAPTERS} WHERE text IS NOT NULL),
+    d AS (SELECT *, lower({T.normalize_text_sql("lines[1]")}) AS first, regexp_replace(substring(whole, length(name) + 1), '^[ .:\\n\\t]+', '') AS tail FROM c)
+    SELECT chapter_id, CASE WHEN len(lines) = 0 OR name = '' THEN text WHEN first = name OR {_END.format('first')} = {_END.format('name')} THEN {STRIP.sql("array_to_string(lines[2:], chr(10) || chr(10))")} WHEN starts_with(lower(whole), name) AND tail <> '' THEN tail ELSE text END AS text FROM d"""
 
 
 @query(f"""SELECT book_id, ';FFMETADATA1' || chr(10) || 'title=' || book_id || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (e - ms)::BIGINT || chr(10) || 'END=' || e::BIGINT || chr(10) || 'title=' || replace(replace(replace(replace(coalesce(title, ''), '\\', '\\\\'), '=', '\\='), ';', '\\;'), '#', '\\#') || chr(10), '' ORDER BY chapter_index) AS text

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from narrata.functions import text as T
 from narrata.functions import vectors as V
-from narrata.functions.rules import STRIP
+from narrata.functions.rules import SQUEEZE, STRIP, WS
 from narrata.operators import retrieval as A
-from narrata.plans.common import memories, passages
+from narrata.plans.common import MEMORIES, memories, passages
 from narrata.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -123,6 +124,43 @@ def chat_citations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES |= {"chat_prompts": chat_prompts, "chat_drafts": chat_drafts, "chat_citations": chat_citations}
 
 
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SNIP = f"CASE WHEN length(flat) <= 240 THEN flat ELSE regexp_replace(substring(flat, 1, 239), '[{WS}]+$', '') || '…' END"
+_ACTION = f"CASE WHEN lower({STRIP.sql('action')}) IN ({', '.join(map(_lit, T.ACTIONS))}) THEN lower({STRIP.sql('action')}) ELSE 'answer' END"
+# Questions and passages embedded by hashing, and the 3 best passages of each question's book.
+_HITS = f"""WITH p AS (SELECT DISTINCT id, book_id, pos, chapter, text, href FROM passages WHERE book_id IS NOT NULL AND pos IS NOT NULL AND {STRIP.sql("coalesce(text, '')")} <> ''),
+    q AS (SELECT memory_id AS query_id, book_id, {STRIP.sql('question')} AS question, {_ACTION} AS action FROM {MEMORIES} WHERE question IS NOT NULL AND book_id IS NOT NULL),
+    x AS (SELECT 'p' || id AS k, lower({STRIP.sql('text')}) AS s FROM p UNION ALL SELECT 'q' || query_id, lower(question) FROM q), t AS (SELECT k, unnest(CASE WHEN len(regexp_extract_all(s, '[a-z0-9]+')) > 0 THEN regexp_extract_all(s, '[a-z0-9]+') ELSE [s] END) AS tok FROM x),
+    h AS (SELECT k, (('0x' || substring(sha256(tok), 1, 8))::BIGINT % 16) AS i, CASE WHEN ('0x' || substring(sha256(tok), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
+    g AS (SELECT k, i, sum(s)::DOUBLE AS v FROM h GROUP BY ALL), n AS (SELECT k, sqrt(sum(v * v)) AS n FROM g GROUP BY k), u AS (SELECT g.k, i, CASE WHEN n = 0 THEN 0.0 ELSE v / n END AS v FROM g JOIN n USING (k)),
+    s AS (SELECT q.query_id, p.id, p.pos, round(coalesce(sum(a.v * c.v), 0.0), 12) AS s FROM q JOIN p ON p.book_id = q.book_id LEFT JOIN u a ON a.k = 'q' || q.query_id LEFT JOIN u c ON c.k = 'p' || p.id AND c.i = a.i GROUP BY ALL),
+    r AS (SELECT * FROM (SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos, id))::INTEGER AS rank FROM s) WHERE rank <= 3),
+    f AS (SELECT r.query_id, r.rank, p.id, p.chapter, p.text, p.href, {SQUEEZE.sql("coalesce(p.text, '')")} AS flat FROM r JOIN p USING (id))"""
+ORACLES["chat_citations"] = f"{_HITS} SELECT query_id, rank, id AS passage_id, {_SNIP} AS snippet, nullif(href, '') AS href FROM f"
+_BODY = "string_agg('[' || id || '] (' || coalesce(chapter, 'None') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)"
+_SAY = "CASE action " + " ".join(f"WHEN '{a}' THEN {_lit(t)}" for a, t in A.INSTRUCTIONS.items()) + " END"
+ORACLES["chat_prompts"] = f"""{_HITS}, b AS (SELECT query_id, {_BODY} AS body FROM f GROUP BY query_id)
+    SELECT query_id, {_lit(A.OPENING + 'Answer mode: ')} || action || {_lit(chr(10) + 'Mode instructions: ')} || {_SAY} || {_lit(chr(10) * 3 + 'Question: ')} || question || {_lit(chr(10) * 2 + 'Passages:' + chr(10))} || coalesce(body, '(No passages retrieved.)') AS prompt FROM q LEFT JOIN b USING (query_id)"""
+
+
+def _draft_sql(kind: str) -> str:
+    x = _lit("\n".join([A.FALLBACK, *A.DRAFTS[kind]]))
+    for mark, value in (("{c}", "coalesce(nullif(chapter, ''), 'this book')"), ("{s80}", "substring(snip, 1, 80)"), ("{s}", "snip"), ("{p}", "id"), ("{q}", "question")):
+        x = f"replace({x}, '{mark}', {value})"
+    if kind == "socratic":
+        x += " || coalesce((SELECT string_agg(chr(10) || '- What would change if you applied [' || o.id || '] differently?', '' ORDER BY o.rank) FROM f o WHERE o.query_id = q.query_id AND o.rank IN (2, 3)), '')"
+    if kind == "answer":
+        x += " || CASE WHEN k > 1 THEN chr(10) || chr(10) || '(' || (k - 1) || ' additional passage(s) were retrieved for context.)' ELSE '' END"
+    return x
+
+
+ORACLES["chat_drafts"] = f"""{_HITS}, b AS (SELECT query_id, count(*) AS k FROM f GROUP BY query_id), l AS (SELECT query_id, id, chapter, {_SNIP} AS snip FROM f WHERE rank = 1)
+    SELECT q.query_id, CASE WHEN k IS NULL THEN {_lit(A.NO_HITS)} {' '.join(f"WHEN action = '{a}' THEN {_draft_sql(a)}" for a in A.DRAFTS)} END AS draft FROM q LEFT JOIN b USING (query_id) LEFT JOIN l USING (query_id)"""
+
+
 @query("""WITH r AS (SELECT DISTINCT id, book_id, chapter_index, chunk_index, text FROM passages WHERE book_id IS NOT NULL AND chapter_index IS NOT NULL AND chunk_index IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, chunk_index, id) - 1 AS pos FROM r)
     SELECT 'passage_' || book_id || '_' || pos AS id, length(trim(text, ' ')) AS n_chars FROM n WHERE text IS NOT NULL AND regexp_matches(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')""")
 def passage_index(spark: SparkSession, d: str) -> DataFrame:

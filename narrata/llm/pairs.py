@@ -6,7 +6,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ FUNCTION_WORDS = {
     "pt": "o os as e em um uma que por com para do da ao à no na nos nas não se mais antes depois debaixo sobre perto atrás entre sem então durante quando pela pelo muita quem",
 }
 _WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF = {w: tuple(k for k, v in _WORDS_OF.items() if w in v) for w in frozenset().union(*_WORDS_OF.values())}
 # Language names, as a prompt may ask for them.
 LANGUAGE_NAMES = {
     "en": "english|anglais|englisch|inglés|inglese|inglês|английском|英語|英语|अंग्रेज़ी|อังกฤษ", "fr": "french|français|französisch|francés|francese|francês|французском|フランス語|法语|फ़्रेंच|ฝรั่งเศส",
@@ -137,41 +138,113 @@ def language(text: str) -> str | None:
     best = n.most_common(1)[0][0]
     if best != "latin":
         return best if n[best] >= 4 else None
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    hits = {k: sum(w in v for w in words) for k, v in _WORDS_OF.items()}
+    hits = dict.fromkeys(_WORDS_OF, 0)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for k in _LANGUAGES_OF.get(w, ()):
+            hits[k] += 1
     first, second = sorted(hits, key=lambda k: (-hits[k], k))[:2]
     return first if hits[first] >= 2 and hits[first] > hits[second] else None
 
 
 class Profiles:
-    """Letter-trigram models of languages, fitted on a sample of the corpus.
+    """Letter-trigram models of languages, fitted on all texts of the corpus.
 
     They tell a text that is not in the language it should be in, whatever
     language it is in: its mean log-probability lies far below that of texts of
-    the language, for its length.
+    the language, for its length. How texts of the language score is taken over
+    all of them too, each by the counts of the others. Models are of the
+    languages that word lists tell; no others are asked for.
     """
 
     SLOTS = 1 << 14
     #: Standard deviations below the mean, bits below the mean, and letters at least, for a text to be foreign.
     FAR, BITS, LEAST = 6.0, 1.5, 40
+    #: Texts that a model rests on at least; trigrams that are scored together, as the scores of long texts spread otherwise.
+    TEXTS, PIECE = 16, 2000
+
+    def __init__(self, texts: list[str] | None = None) -> None:
+        self.n, self.total = dict[str, np.ndarray](), dict[str, int]()
+        self.mean, self.spread = dict[str, float](), dict[str, float]()
+        self._own = np.zeros(self.SLOTS, np.int64)
+        if texts is not None:
+            told = [(language(t), t) for t in texts]
+            self.fit(self.counted(told))
+            self.scale([(l, *m) for l, m in self.scored(told).items()])
 
-    def __init__(self, texts: list[str]) -> None:
-        by: dict[str, list[np.ndarray]] = {}
-        for t in texts:
-            if (l := language(t)) is not None and len(x := self._grams(t)) >= self.LEAST:
-                by.setdefault(l, []).append(x)
-        self.log, self.mean, self.spread = dict[str, np.ndarray](), dict[str, float](), dict[str, float]()
-        for l, lists in sorted(by.items()):
-            # Half fits the model, the other half says how texts score that it has not seen.
-            fit, held = lists[::2], lists[1::2]
-            if len(held) < 8:
-                continue
-            n = np.bincount(np.concatenate(fit), minlength=self.SLOTS).astype(np.float64)
-            self.log[l] = np.log2((n + 0.05) / (n.sum() + 0.05 * self.SLOTS)).astype(np.float32)
-            scores = np.array([self.log[l][x].mean() for x in held])
-            self.mean[l] = float(scores.mean())
+    @classmethod
+    def fitted(cls, texts: DataFrame) -> Profiles:
+        """The models of distinct texts, ``l, t`` with their languages: one pass counts, one scores."""
+        texts = texts.select("l", "t").where(F.col("l").isin(list(_WORDS_OF)))
+        pairs = lambda batches: (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = cls.counted(pairs(batches))
+            for l, k in n.items():
+                at = np.flatnonzero(k)
+                yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(k[at], pa.int64())], names=["l", "slot", "n"])
+
+        out = cls()
+        n: dict[str, np.ndarray] = {}
+        # The model itself: at most SLOTS + 1 rows a language.
+        for r in texts.mapInArrow(count, "l string, slot int, n bigint").groupBy("l", "slot").agg(F.sum("n").alias("n")).collect():
+            n.setdefault(r["l"], np.zeros(cls.SLOTS + 1, np.int64))[r["slot"]] = r["n"]
+        out.fit(n)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(l, *m.tolist()) for l, m in out.scored(pairs(batches)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(1, 6))], names=["l", *names])
+
+        names = ["k", "s", "w", "ws", "wss"]
+        if out.n:
+            out.scale([tuple(r) for r in texts.mapInArrow(score, "l string, " + ", ".join(f"{x} double" for x in names)).groupBy("l").agg(*(F.sum(x).alias(x) for x in names)).collect()])
+        return out
+
+    @classmethod
+    def counted(cls, texts: Iterable[tuple[str | None, str]]) -> dict[str, np.ndarray]:
+        """How often each trigram occurs in each language; in the last place the number of texts."""
+        n: dict[str, np.ndarray] = {}
+        for l, t in texts:
+            if l in _WORDS_OF and len(x := cls._grams(t)) >= cls.LEAST:
+                k = n.setdefault(l, np.zeros(cls.SLOTS + 1, np.int64))
+                np.add.at(k, x, 1)
+                k[-1] += 1
+        return n
+
+    def fit(self, n: dict[str, np.ndarray]) -> None:
+        """Take the counts, of languages with texts enough."""
+        for l, k in sorted(n.items()):
+            if k[-1] >= self.TEXTS:
+                self.n[l], self.total[l] = k[:-1], int(k[:-1].sum())
+
+    def _bits(self, x: np.ndarray, lang: str, own: bool) -> np.ndarray:
+        """The log-probabilities of a text's trigrams, by the counts of all other texts if it is one of those counted."""
+        n, total = self.n[lang][x], self.total[lang]
+        if own:
+            np.add.at(self._own, x, 1)
+            n, total = np.maximum(n - self._own[x], 0), max(total - len(x), 0)
+            self._own[x] = 0
+        return np.log2((n + 0.05) / (total + 0.05 * self.SLOTS))
+
+    def scored(self, texts: Iterable[tuple[str | None, str]]) -> dict[str, np.ndarray]:
+        """For each language: number and sum of the pieces' scores, and sums of their lengths, times the score and its square. Scores count from that of a model that knows nothing."""
+        out: dict[str, np.ndarray] = {}
+        for l, t in texts:
+            if l in self.n and len(x := self._grams(t)) >= self.LEAST:
+                bits = self._bits(x, l, own=True) + math.log2(self.SLOTS)
+                m = out.setdefault(l, np.zeros(5))
+                for i in range(0, len(bits), self.PIECE):
+                    if len(b := bits[i : i + self.PIECE]) >= self.LEAST:
+                        w, s = len(b), float(b.mean())
+                        m += (1, s, w, w * s, w * s * s)
+        return out
+
+    def scale(self, moments: Iterable[tuple[str, float, float, float, float, float]]) -> None:
+        """Mean and spread of the scores; rounded, as sums depend a little on their order."""
+        for l, k, s, w, ws, wss in moments:
+            mean = s / k
+            self.mean[l] = round(float(mean) - math.log2(self.SLOTS), 6)
             # What one trigram adds to the spread, from texts of all lengths.
-            self.spread[l] = float(np.sqrt((((scores - self.mean[l]) ** 2) * [len(x) for x in held]).mean()))
+            self.spread[l] = round(math.sqrt(max(0.0, float(wss - 2 * mean * ws + mean * mean * w)) / k), 6)
 
     @classmethod
     def _grams(cls, text: str) -> np.ndarray:
@@ -183,11 +256,11 @@ class Profiles:
         h = (cp[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ cp[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ cp[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
         return (h >> np.uint64(50)).astype(np.int64)
 
-    def foreign(self, text: str, lang: str) -> bool:
-        """Whether the text can hardly be in the language."""
-        if lang not in self.log or len(x := self._grams(text)) < self.LEAST:
+    def foreign(self, text: str, lang: str, told: str | None) -> bool:
+        """Whether the text, told as being in one language, can hardly be in the language."""
+        if lang not in self.mean or len(x := self._grams(text)) < self.LEAST:
             return False
-        below = self.mean[lang] - float(self.log[lang][x].mean())
+        below = self.mean[lang] - float(self._bits(x, lang, own=told == lang).mean())
         return below > self.BITS and below > self.FAR * self.spread[lang] / math.sqrt(len(x))
 
 
@@ -209,8 +282,8 @@ def other_language(question: str, answer: str, profiles: Profiles | None = None)
     """Whether the answer is in another language than the question, which does not ask for it."""
     bare = re.sub(r"[“„\"«「『][^”“\"»」』]*[”“\"»」』]", " ", answer)
     ask = language(question)
-    said = language(bare if len(tokens(bare)) >= 4 else answer)
-    if ask in _WORDS_OF and said in (None, ask) and profiles and profiles.foreign(answer, ask) and not any(x.search(question) for k, x in _ASKS.items() if k != ask):
+    said = language(part := bare if len(tokens(bare)) >= 4 else answer)
+    if ask in _WORDS_OF and said in (None, ask) and profiles and profiles.foreign(answer, ask, said if part == answer else language(answer)) and not any(x.search(question) for k, x in _ASKS.items() if k != ask):
         return True
     if ask and said and ask != said and said not in _ASKS:
         return True
@@ -261,6 +334,13 @@ def is_truncated(answer: str, goes_on: bool, at_spike: bool, seen: int, ended: i
     return True
 
 
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their languages."""
+    for b in sliced(batches, 0):
+        told = pa.array([language(t) for t in b.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), told], names=["t", "long", "l"])
+
+
 def _prefix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over sorted distinct texts: which one is the beginning of the one after it, and how that goes on."""
     pid, waiting, first = TaskContext.get().partitionId(), list[tuple[int, str]](), None
@@ -289,7 +369,10 @@ def shortened(texts: DataFrame) -> DataFrame:
     neighbour. A partition's last text meets the first of the next non-empty
     partition in a second step (two rows a partition).
     """
-    d = texts.distinct()
+    return _shortened(texts.distinct())
+
+
+def _shortened(d: DataFrame) -> DataFrame:
     seen = d.repartitionByRange("t").sortWithinPartitions("t").select("h", "t").mapInArrow(_prefix_batches, "what string, pid int, h bigint, text string, follows string")
     seen = written(seen, "prefixes")
     nxt = seen.where("what = 'first'").withColumn("before", F.lag("pid").over(Window.orderBy("pid"))).select("before", F.col("text").alias("nt"))
@@ -298,7 +381,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     return seen.where("what = 'found'").select("h", "follows").unionByName(edge)
 
 
-def defective(pairs: DataFrame, *, least_chars: int = 12, spike_z: float = 13.0, spike_times: float = 5.0, sample_rows: int = 4000, sample_chars: int = 2000) -> DataFrame:
+def defective(pairs: DataFrame, *, least_chars: int = 12, spike_z: float = 13.0, spike_times: float = 5.0) -> DataFrame:
     """``record_kind, record_id, defect`` of every broken pair.
 
     ``pairs(record_kind, record_id, question, answer)``. One defect a pair, the
@@ -309,16 +392,17 @@ def defective(pairs: DataFrame, *, least_chars: int = 12, spike_z: float = 13.0,
     ``spike_z`` standard deviations of a Poisson count more), and counts over all answers show whether the last word
     ever closes a clause. Null and blank answers are ``empty``; a null question
     leaves only the rules that need none. Repeated rows count once; other
-    columns are not read. Letter-trigram models of ``sample_rows`` pairs (their
-    first ``sample_chars`` characters) tell answers in any further language.
+    columns are not read. Letter-trigram models of all questions and answers,
+    each distinct text once, tell answers in any further language.
     """
     rows = pairs.select("record_kind", F.col("record_id").cast("string").alias("record_id"), F.col("question").alias("q"), F.col("answer").alias("a")).where(F.col("record_id").isNotNull()).dropDuplicates(["record_kind", "record_id"])
     rows = written(rows.withColumn("h", F.xxhash64("a")).withColumn("bare", ~F.col("a").rlike(r"[.!?…。！？।\"”»」』)\]）】]\s*$")), "pairs")
-    # A bounded sample for the language models, by a hash of the key; for every language the corpus shows.
-    picked = rows.orderBy(F.xxhash64("record_kind", "record_id")).limit(sample_rows).select(F.substring("q", 1, sample_chars).alias("q"), F.substring("a", 1, sample_chars).alias("a")).collect()
-    profiles = Profiles(sorted({t for r in picked for t in r if t}))
+    # Every distinct text once, for the language models; answers among them for the comparison of neighbours.
+    texts = rows.select(F.inline(F.array(F.struct(F.col("q").alias("t"), F.lit(False).alias("long")), F.struct(F.col("a").alias("t"), (F.length("a") >= least_chars).alias("long"))))).where("t IS NOT NULL")
+    texts = written(texts.groupBy("t").agg(F.max("long").alias("long")).mapInArrow(_tell, "t string, long boolean, l string"), "texts")
+    profiles = Profiles.fitted(texts)
     long = rows.where(F.length("a") >= least_chars)
-    on = shortened(long.select("h", F.col("a").alias("t"))).groupBy("h").agg(F.min("follows").alias("follows"))
+    on = _shortened(texts.where("long").select(F.xxhash64("t").alias("h"), "t")).groupBy("h").agg(F.min("follows").alias("follows"))
     size = long.where("bare").groupBy(F.length("a").alias("size")).count()
     around = F.sum("count").over(Window.orderBy("size").rangeBetween(-8, 8))
     spikes = size.withColumn("near", (around - F.col("count")) / 16.0).where((F.col("count") - F.col("near") >= spike_z * F.sqrt(F.col("near") + 1)) & (F.col("count") >= spike_times * F.greatest("near", F.lit(1.0)))).select("size", F.lit(True).alias("spike"))

@@ -114,3 +114,33 @@ def test_languages_that_no_list_knows(profiles, a):
 @pytest.mark.parametrize("a", ["The old tailor missed the harbour near the bridge before the storm.", "Kröllmann Astbury-Hale.", "The keeper forgot the lantern; Núñovar carried the boat while it was raining."])
 def test_answers_in_the_language_stay(profiles, a):
     assert P.defect(ENGLISH, a, None, False, 30, 10, profiles) is None
+
+
+ITEMS = [f"Die {a} {b} {c} in der Nacht, und das war das Ende von {i}." for i, (a, b, c) in enumerate([("Weberin", "vergaß den", "kleinen Kahn"), ("Nachbarin", "fand das", "alte Buch"), ("Schneiderin", "rief den", "müden Fischer"), ("Bäuerin", "sah die", "ferne Mühle")] * 5)]
+
+
+def test_every_text_counts_in_the_models(spark):
+    # Few texts of a language among many others: no sample of the rows would show it often enough.
+    rows = [("m", str(i), f"Who missed the shallow harbour before storm {i} and what was the reason?", f"The sailor missed it at the bridge, and the keeper of mill {i} knew.") for i in range(12_000)]
+    rows += [("g", str(i), f"Warum hat die Frau den Kahn {i} in der Nacht nicht auf dem Fluss gesehen?", t) for i, t in enumerate(ITEMS[:9])]
+    rows += [("x", "1", "Warum hat die Frau den Kahn in der Nacht nicht auf dem Fluss gesehen?", "Den gamle skräddaren glömde brevet vid bron och gick hem utan att säga något alls.")]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, question string, answer string").repartition(4)
+    assert [tuple(r) for r in P.defective(df).where("record_kind <> 'm'").collect()] == [("x", "1", "other_language")]
+
+
+def test_models_of_a_table_are_those_of_a_list(spark):
+    texts = sorted({*ITEMS, "The end. " * 4000, *(f"The sailor of {w} missed the harbour and the bridge before the storm." for w in map(str, range(40)))})
+    df = spark.createDataFrame([(P.language(t), t, True) for t in texts], "l string, t string, long boolean").repartition(3)
+    one, all_ = P.Profiles(texts), P.Profiles.fitted(df)
+    assert sorted(one.n) == ["de", "en"] and all((one.n[l] == all_.n[l]).all() for l in one.n)
+    assert (one.mean, one.spread, one.total) == (all_.mean, all_.spread, all_.total)
+    assert P.Profiles.fitted(df.where("false")).mean == {}
+
+
+def test_a_text_is_not_judged_by_its_own_counts():
+    dutch = "De was van die man was in de kast en de kat was op het dak in de zon."
+    assert P.language(dutch) == "en"
+    texts = [f"The sailor of {w} missed the harbour and the bridge before the storm, and that was the end of it." for w in ("Ely", "Rye", "Looe", "Wick")] + [f"The {a} was in the {b} when the {c} came by." for a in ("tailor", "nurse", "baker") for b in ("mill", "barn", "yard") for c in ("storm", "sailor", "boat")]
+    without, with_it = P.Profiles(texts), P.Profiles([*texts, dutch])
+    x = P.Profiles._grams(dutch)
+    assert (without._bits(x, "en", own=False) == with_it._bits(x, "en", own=True)).all()

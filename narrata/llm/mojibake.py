@@ -6,6 +6,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.llm.common import sliced
-from narrata.session import spread
+from narrata.session import spread, written
 
 # Encodings that text is commonly misread in, and those it really had.
 MISREAD_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2", "cp1254", "cp1253", "iso8859-5", "mac-cyrillic")
@@ -24,7 +26,7 @@ MULTI_BYTE_TRUTH = ("shift_jis", "gb18030", "euc_jp", "big5", "tis-620")
 
 #: Bytes of description that a chain costs by itself, for each decoding step.
 CHAIN_COST = 6.0
-#: Bytes that a character not seen in the language's sample costs on top.
+#: Bytes that a character not seen in the language costs on top.
 NOVEL_COST = 3.0
 #: Bytes that a character costs which the language hardly shows, and one that tears a word apart.
 STRANGE_COST, TORN_COST = 1.0, 40.0
@@ -32,6 +34,14 @@ STRANGE_COST, TORN_COST = 1.0, 40.0
 UNKNOWN_COST = 30.0
 #: A chain must save at least this share of the description of the stretches it changes.
 MIN_SAVING = 0.02
+#: Characters that a piece of text has, of which shares are taken; shares of a language's pieces from which a character counts as usual, as seen, and as known at all.
+PIECE, USUAL, SEEN, KNOWN = 1200, 0.02, 0.01, 0.001
+#: Words, pairs and triples of words that a dictionary holds, of each; characters of a word that is counted whole, and of the parts that longer ones are counted by.
+WORDS, WHOLE, PART = 8192, 12, 4
+#: Share of a language's texts that a word of the dictionary is in, as damage that shows no sign repeats itself too.
+COMMON = 0.002
+#: Different keys that a task counts before it hands them on.
+KEYS = 100_000
 #: Characters that a stretch has beyond each change, and that must be equal before two readings go on alike.
 AROUND, ALIKE, REACH = 24, 8, 240
 FIELDS = [("doc_id", pa.int64()), ("damaged", pa.bool_()), ("chain", pa.string()), ("text_restored", pa.string())]
@@ -171,54 +181,75 @@ def _pair(read: str, truth: str) -> bool:
     return read != truth and not (read in common and truth in common) and (truth in CYRILLIC or (truth == "cp1252" and read not in CYRILLIC) or (read in common and truth not in CYRILLIC))
 
 
-def _usual(sample: str, least: float = 0.02) -> set[str]:
-    """Characters in at least that share of the sample's texts (two of them at least)."""
-    texts = sample.split("\0")
-    n = Counter(c for t in texts for c in set(t))
-    return {c for c, k in n.items() if k >= max(2, least * len(texts)) or len(texts) < 8}
+class Model(NamedTuple):
+    """A language: its dictionary, its number of pieces, and for each character beyond ASCII the pieces that hold it and how often it occurs."""
+
+    words: str
+    pieces: float
+    chars: dict[str, tuple[int, int]]
+
+    @classmethod
+    def of(cls, sample: str) -> Model:
+        """The model of texts joined by NUL, each a piece, which are their own dictionary."""
+        texts, n = sample.split("\0"), Counter(sample)
+        k = Counter(c for t in texts for c in set(t))
+        return cls(sample, len(texts), {c: (k[c], n[c]) for c in k if ord(c) > 127})
+
+    def shown(self, share: float, least: int = 1) -> set[str]:
+        """Characters in at least that share of the pieces."""
+        return {c for c, (k, _) in self.chars.items() if k >= max(least, share * self.pieces) or self.pieces < 8}
 
 
 class Judge:
     """Description lengths of text by zstandard dictionaries, one per language."""
 
-    def __init__(self, samples: dict[str, str]) -> None:
-        self.zip = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(v.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in samples.items()}
-        self.seen = {k: set(v) for k, v in samples.items()}
-        self.known = set().union(*self.seen.values()) if self.seen else set()
-        self.strange = {k: re.compile("[^\\x00-\\x7f" + re.escape("".join(sorted(_usual(v)))) + "]") for k, v in samples.items()} | {"": re.compile("[^\\x00-\\x7f]")}
+    def __init__(self, models: dict[str, Model | str]) -> None:
+        self.models = {k: Model.of(v) if isinstance(v, str) else v for k, v in models.items()}
+        self.seen = {k: v.shown(SEEN) for k, v in self.models.items()}
+        self.known = set().union(*(v.shown(KNOWN) for v in self.models.values()))
+        self.usual = {k: v.shown(USUAL, 2) for k, v in self.models.items()}
         self.wide = [Misread(c) for c in MISREAD_AS]
         self.latin = {c: _to_latin(c) for c in MISREAD_ONE}
         self.runs = {c: re.compile("[\\x21-\\x7e" + re.escape("".join(_byte_map(c))) + "]+") for c in MISREAD_ONE}
         self.memory: dict[tuple[str, str, tuple[str, ...]], tuple[float, str | None, str]] = {}
-        self.usual = {k: {c for c in _usual(v) if ord(c) > 127} for k, v in samples.items()}
         # What stands for a letter that is lost: the commonest beyond ASCII, if the language has one.
-        self.letter = {k: (Counter(c for c in v if c in self.usual[k] and c.isalpha()).most_common(1) or [("e", 0)])[0][0] for k, v in samples.items()}
-        self.quiet = {k: self._quiet(k) for k in samples}
+        self.letter = {k: min(((-v.chars[c][1], c) for c in self.usual[k] if c.isalpha()), default=(0, "e"))[1] for k, v in self.models.items()}
+        # Made when a language is first met.
+        self.zip, self.strange, self.quiet = cache(self._zip), cache(self._strange), cache(self._quiet)
+
+    def _zip(self, lang: str) -> zstandard.ZstdCompressor | None:
+        if lang not in self.models or not self.models[lang].words:
+            return None
+        words = zstandard.ZstdCompressionDict(self.models[lang].words.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def _strange(self, lang: str) -> re.Pattern[str]:
+        return re.compile("[^\\x00-\\x7f" + re.escape("".join(sorted(self.usual.get(lang, ())))) + "]")
 
     def cost(self, text: str, lang: str) -> float:
-        z = self.zip.get(lang)
+        z = self.zip(lang)
         raw = text.encode("utf-8", "surrogatepass")
         novel = sum(NOVEL_COST * (1 + (c not in self.known)) for c in text if ord(c) > 127 and c not in self.seen.get(lang, self.known))
         return (len(z.compress(raw)) if z else len(raw)) + novel
 
     def odd(self, line: str, lang: str) -> int:
         """How much in the line the language does not show: strange characters, and Cyrillic words in turned-round case."""
-        return len(self.strange[lang].findall(line)) + len(_TURNED.findall(line))
+        return len(self.strange(lang).findall(line)) + len(_TURNED.findall(line))
 
     def _quiet(self, lang: str) -> list[tuple[str, str, frozenset[str], dict[int, str]]]:
         """Rereadings of single bytes that turn usual characters of the language into usual ones: ``(read, truth, characters, mapping)``."""
-        out = []
+        out, usual = [], self.usual.get(lang, set())
         for read in MISREAD_ONE:
             of = _byte_map(read)
             for truth in SINGLE_BYTE_TRUTH:
                 if _pair(read, truth):
-                    m = {ord(c): new for c in self.usual[lang] if c in of and (new := _decoded(bytes([of[c]]), truth)) in self.usual[lang]}
+                    m = {ord(c): new for c in usual if c in of and (new := _decoded(bytes([of[c]]), truth)) in usual}
                     if any(chr(c) != new for c, new in m.items()):
                         out.append((read, truth, frozenset(map(chr, m)), m))
         return out
 
     def language(self, text: str) -> str:
-        return min(self.zip, key=lambda k: (self.cost(text, k), k)) if self.zip else ""
+        return min(self.models, key=lambda k: (self.cost(text, k), k)) if self.models else ""
 
     def _chains(self, line: str, lang: str) -> Iterator[tuple[str, str, int]]:
         """``(chain, text, steps)`` for every decoding that changes the line."""
@@ -269,7 +300,7 @@ class Judge:
             yield from self._chains(line, lang)
             return
         held = {c for c in line if ord(c) > 127}
-        for read, truth, known, mapping in self.quiet[lang]:
+        for read, truth, known, mapping in self.quiet(lang):
             if held <= known:
                 yield f"{read}>{truth}", line.translate(mapping), 1
         for m in self.wide:
@@ -313,7 +344,7 @@ class Judge:
         a second look, at which the chains found elsewhere in the text are cheap.
         The result does not depend on the order of the lines.
         """
-        if lang not in self.zip:
+        if lang not in self.models:
             lang = self.language(text)
         lines, found = text.split("\n"), Counter[str]()
         todo = [i for i, line in enumerate(lines) if not line.isascii()]
@@ -338,41 +369,70 @@ class Judge:
         return damaged, max(found, key=lambda k: (found[k], k)) if found else None, "\n".join(lines)
 
 
-#: Signs of damage that keep a text out of the samples.
+#: Signs of damage that keep a text out of the models.
 _UNCLEAN = "[�\u0080-\u009f─-▟√Ωπτσ∫≤≥⌠⌡Γ]|[ÃÂÐÑâà][\u0080-¿€‚ƒ„…†‡ˆ‰‹Œ‘’“”•–—˜™›œ]|вЂ|[РС][\u0080-¿Ђ‚ѓ„…†‡€‰]"
 
 
-def language_samples(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 64, chars: int = 1200, max_languages: int = 256) -> dict[str, str]:
-    """A bounded sample of clean text for each language: the dictionaries.
-
-    At most ``per_language`` documents of ``chars`` characters for each of the
-    ``max_languages`` most frequent languages, by order of a hash of the id. A
-    first share of the hashes is tested for clean text; a language that yields
-    too few is looked through whole. Text of any further language is judged by
-    the dictionary that describes it best.
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What texts of each language show: words (``what`` is ``w``), pairs and triples of words (``p``, ``t``), characters beyond ASCII (``c``), and pieces (``n``)."""
+    words, pairs, triples, pieces, often, size, texts = *(Counter[tuple[str, str]]() for _ in range(5)), Counter[str](), Counter[str]()
+
+    def rows() -> pa.RecordBatch:
+        out = [(l, "w", w, k, 0) for (l, w), k in words.items()] + [(l, "p", w, k, 0) for (l, w), k in pairs.items()] + [(l, "t", w, k, 0) for (l, w), k in triples.items()] + [(l, "c", c, k, often[l, c]) for (l, c), k in pieces.items()] + [(l, "n", "", k, texts[l]) for l, k in size.items()]
+        for x in (words, pairs, triples, pieces, often, size, texts):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["l", "what", "x", "k", "m"])
+
+    for b in sliced(batches, 1):
+        for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held = set(w := t.split())
+            if "\xa0" in t:
+                # No-break spaces count with the words round them too: they are among what is misread.
+                held |= {x for x in re.findall("[^ \t\r\n]+", t) if "\xa0" in x}
+            long = {w for w in held if len(w) > WHOLE}
+            words.update((l, w) for w in held - long | {w[i : i + PART] for w in long for i in range(len(w) - PART + 1)})
+            size[l] += len(t)
+            texts[l] += 1
+            if not t.isascii():
+                pairs.update((l, x) for x in {f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if not (a.isascii() and b.isascii()) and len(a) <= WHOLE and len(b) <= WHOLE})
+                triples.update((l, x) for x in {f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:], strict=False) if not (a.isascii() and b.isascii() and c.isascii()) and max(len(a), len(b), len(c)) <= WHOLE})
+                often.update((l, c) for c in re.findall("[^\\x00-\\x7f]", t))
+                pieces.update((l, c) for i in range(0, len(t), PIECE) for c in set(t[i : i + PIECE]) if ord(c) > 127)
+            if len(words) + len(pairs) + len(triples) > KEYS:
+                yield rows()
+    yield rows()
+
+
+def language_models(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> dict[str, Model]:
+    """The models of all languages, from every text without signs of damage.
+
+    All such texts are counted whole, equal ones once: in how many of a
+    language's pieces each character is and how often, and in how many texts
+    each word is (long words, and what is written without blanks, by parts of
+    ``PART`` characters), and pairs and triples of words with a character beyond
+    ASCII. A dictionary holds the ``WORDS`` of each that save most, the best ones
+    last; none that a single text has, which it would tell itself by, or a share of
+    texts below ``COMMON``.
     """
-    rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where(F.col("l").isNotNull() & ~F.col("l").isin("und", ""))
-    n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
-    out: dict[str, list[str]] = {}
-
-    def look(share: dict[str, int]) -> None:
-        part = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("l"))
-        pick = rows.where(F.col("l").isin(list(share)) & (F.pmod("h", part) == 0)).where((F.length("t") > 80) & ~F.col("t").rlike(_UNCLEAN)).select("l", "h", F.substring("t", 1, chars).alias("t"))
-        got = pick.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("k") <= per_language).orderBy("l", "k").collect()
-        for l in share:
-            out.pop(l, None)
-        for r in got:
-            out.setdefault(r["l"], []).append(r["t"])
-
-    if n:
-        share = {k: max(1, v // (4 * per_language)) for k, v in n.items()}
-        look(share)
-        if short := {k: 1 for k, v in share.items() if v > 1 and len(out.get(k, [])) < per_language}:
-            look(short)
-    return {k: "\0".join(v) for k, v in sorted(out.items())}
-
-
-def restored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", samples: dict[str, str] | None = None) -> DataFrame:
+    rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isNotNull() & ~F.col("l").isin("und", ""))
+    clean = rows.where(~F.col("t").rlike(r"[^\x00-\x7F]") | ~F.col("t").rlike(_UNCLEAN))
+    n = written(clean.distinct().mapInArrow(_counts, "l string, what string, x string, k bigint, m bigint").groupBy("l", "what", "x").agg(F.sum("k").alias("k"), F.sum("m").alias("m")), "languages")
+    saves = F.col("k") * (F.octet_length("x") - 1)
+    best = n.where("what IN ('w', 'p', 't') AND k > 1").withColumn("i", F.row_number().over(Window.partitionBy("l", "what").orderBy(saves.desc(), "x"))).where(F.col("i") <= WORDS)
+    words, chars, size = dict[str, list[tuple[str, int, str]]](), dict[str, dict[str, tuple[int, int]]](), dict[str, tuple[int, int]]()
+    # A language's characters and its dictionary: bounded by the alphabet and by WORDS.
+    for r in n.where("what IN ('c', 'n')").collect():
+        if r["what"] == "n":
+            size[r["l"]] = (r["k"], r["m"])
+        else:
+            chars.setdefault(r["l"], {})[r["x"]] = (r["k"], r["m"])
+    for r in best.select("l", "what", "x", "i", "k").collect():
+        if r["k"] >= COMMON * size[r["l"]][1]:
+            words.setdefault(r["l"], []).append((r["what"], -r["i"], r["x"]))
+    return {l: Model(" ".join(x for *_, x in sorted(words.get(l, []))), k / PIECE, chars.get(l, {})) for l, (k, _) in sorted(size.items())}
+
+
+def restored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: dict[str, Model] | None = None) -> DataFrame:
     """``doc_id, damaged, chain, text_restored`` of every document with text.
 
     Each line that holds non-ASCII characters is described by every chain of
@@ -384,10 +444,10 @@ def restored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     no row; empty and pure-ASCII text is never damaged. A null or unknown
     language is judged by all dictionaries. Repeated rows give repeated rows.
     """
-    samples = language_samples(docs, lang_col=lang_col, text_col=text_col, id_col=id_col) if samples is None else samples
+    models = language_models(docs, lang_col=lang_col, text_col=text_col) if models is None else models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(samples)
+        judge = Judge(models)
         for b in sliced(batches, 1):
             ids, texts, langs = (b.column(i).to_pylist() for i in range(3))
             got = [judge.restore(t, lang) for t, lang in zip(texts, langs, strict=True)]

@@ -73,3 +73,27 @@ def test_one_letter_is_flagged_where_nothing_undoes_it(codec, letter):
 @pytest.mark.parametrize("text", ["L'ÂGE D'OR", "«CAFÉ»", "√2 + √π ≈ 3", "NÃO, MANHÃ… AMANHÔ", "a ÷ b", "¬ p"])
 def test_no_sign_in_sound_text(text):
     assert not M._SIGNS.search(text)
+
+
+PREFACE = "Le pont dort sous la pluie et le meunier regarde la lune qui monte. " * 19
+
+
+def test_models_count_whole_texts(spark):
+    # Letters beyond ASCII come late in every text, where a sample of beginnings does not look.
+    docs = [(i, PREFACE + f"\nNote {i}. " + FR, "fr") for i in range(40)] + [(99, broken(FR, "cp437"), "fr")]
+    out = M.restored(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert [(r.doc_id, r.text_restored) for r in out.where("damaged").collect()] == [(99, FR)]
+
+
+def test_models_count_every_text_once(spark):
+    docs = [(i, f"Le soir {i} au théâtre, " + "une cloche sonne. " * (i % 7), "fr") for i in range(300)] + [(300, "Un œuf rare.", "fr"), (301, "Un œuf rare et cher.", "fr"), (302, "Lu seul: çà.", "fr")]
+    docs += [(400 + i, f"Text {i}", f"x{i}") for i in range(300)] + [(900, broken(FR, "cp1252"), "fr"), (901, None, "fr"), (902, "", "fr"), (903, FR, None), (904, FR, "und")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = M.language_models(df.repartition(5))
+    clean = [t for _, t, l in docs[:303]]
+    assert len(got) == 301 and got == M.language_models(df.union(df).repartition(3))
+    assert got["fr"].pieces == sum(map(len, clean)) / M.PIECE
+    assert got["fr"].chars == {c: (n, sum(t.count(c) for t in clean)) for c in "éâœçà" if (n := sum(c in t for t in clean))}
+    # A word that one text alone has is not in the dictionary.
+    assert {"œuf", "théâtre,", "au théâtre,"} <= {*got["fr"].words.split(" "), *(x for x in ("au théâtre,",) if x in got["fr"].words)} and "seul" not in got["fr"].words
+    assert M.language_models(df.where("false")) == {}
